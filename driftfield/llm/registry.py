@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import mixing
+from driftfield.llm import decontamination, mixing
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +17,11 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op10_mixing": _documents(mixing.query),
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
