@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import decontamination, media, mixing, secrets
+from driftfield.llm import decontamination, line_dedup, media, mixing, secrets
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": _documents(line_dedup.query),
     "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op7_secrets": _documents(secrets.query),
     "op8_media": _documents(media.query),
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
