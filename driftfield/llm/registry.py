@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import decontamination, line_dedup, media, mixing, secrets
+from driftfield.llm import decontamination, line_dedup, media, mixing, secrets, simhash
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op7_secrets": _documents(secrets.query),
     "op8_media": _documents(media.query),
+    "op9_simhash": _documents(simhash.query),
     "op10_mixing": _documents(mixing.query),
 }
 
