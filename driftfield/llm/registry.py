@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash
+from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": _documents(line_dedup.query),
+    "op3_substring_dedup": _documents(substring_dedup.query),
     "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op6_quality": lambda spark, sf_dir: quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op7_secrets": _documents(secrets.query),
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
