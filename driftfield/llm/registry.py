@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup
+from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": _documents(line_dedup.query),
     "op3_substring_dedup": _documents(substring_dedup.query),
     "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op5_suffix_dedup": _documents(suffix_dedup.query),
     "op6_quality": lambda spark, sf_dir: quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op7_secrets": _documents(secrets.query),
     "op8_media": _documents(media.query),

@@ -120,19 +120,24 @@ def contexts(found: DataFrame) -> DataFrame:
     return each.join(several, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
 
 
-def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
-    """(w1, w2, place): the runs anchored at the places of ``chosen`` (h, first), by two hashes. ``at`` is the run's start.
-
-    One place stands for each surrounding; a screen of those places picks them
-    in another scan. What slips through are true runs at true places.
-    """
+def place_screen(chosen: DataFrame) -> Screen:
+    """A screen of the places of ``chosen`` (h, first)."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {k: np.asarray(column(batch, k).to_numpy(zero_copy_only=False)) for k in (*PLACE, "h")}
             yield pa.RecordBatch.from_arrays([pa.array(place_hash(cols, cols["h"]).view(np.int64))], ["h"])
 
-    sieve = rows.sparkSession.sparkContext.broadcast(screen(table(chosen.select("h", "first.*").mapInArrow(hashes, "h long"), "anchor-screen")))
+    return screen(table(chosen.select("h", "first.*").mapInArrow(hashes, "h long"), "anchor-screen"))
+
+
+def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
+    """(w1, w2, place): the runs anchored at the places of ``chosen`` (h, first), by two hashes. ``at`` is the run's start.
+
+    One place stands for each surrounding; a screen of those places picks them
+    in another scan. What slips through are true runs at true places.
+    """
+    sieve = rows.sparkSession.sparkContext.broadcast(place_screen(chosen))
 
     def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         wanted = np.flatnonzero(sieve.value(place_hash(places(a, own, a.at), a.h)))
@@ -140,3 +145,19 @@ def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
         return {"w1": w1, "w2": w2} | places(a, own, starts)
 
     return scan(rows, shape, found, f"w1 long, w2 long, {PLACED}")
+
+
+def surroundings(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
+    """(h, place, around): the bytes that runs through the anchors at the places of ``chosen`` see. ``at`` is where they start."""
+    sieve = rows.sparkSession.sparkContext.broadcast(place_screen(chosen))
+
+    def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        wanted = sieve.value(place_hash(places(a, own, a.at), a.h))
+        at = a.at[wanted]
+        low = np.maximum(a.part.low[at], at - shape.reach + 1)
+        high = np.minimum(a.part.high[at], at + shape.length)
+        around = np.empty(len(at), object)
+        around[:] = [a.part.values[i:j].tobytes() for i, j in zip(low, high, strict=True)]
+        return {"h": a.h[wanted]} | places(a, own, at) | {"at": low + a.part.shift[at], "around": around}
+
+    return scan(rows, shape, found, f"h long, {PLACED}, around binary")

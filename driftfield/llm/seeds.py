@@ -103,13 +103,14 @@ class Shape:
 
 @dataclass
 class Part:
-    """Some documents side by side, or a piece of one: units, and for each unit the bounds of its document.
+    """Some documents side by side, or a piece of one: units (hashed, and as they are), and for each the bounds of its document.
 
     ``doc`` counts documents of the batch, ``shift`` is added to a unit's place
     to get the place in its document, ``core`` bounds the places this part answers for.
     """
 
     units: np.ndarray
+    values: np.ndarray
     doc: np.ndarray
     shift: np.ndarray
     low: np.ndarray
@@ -127,7 +128,8 @@ def parts(shape: Shape, texts: Sequence[bytes | None], size: int = 1 << 18) -> I
         ends = np.cumsum(lengths)
         low, high = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
         doc = np.repeat(np.array([i for i, _ in group], np.int64), lengths)
-        return Part(shape.units(np.concatenate([v for _, v in group])), doc, -low, low, high, (0, int(ends[-1])))
+        values = np.concatenate([v for _, v in group])
+        return Part(shape.units(values), values, doc, -low, low, high, (0, int(ends[-1])))
 
     for i, raw in enumerate(texts):
         values = shape.values(raw) if raw else ()
@@ -138,7 +140,7 @@ def parts(shape: Shape, texts: Sequence[bytes | None], size: int = 1 << 18) -> I
                 a, b = max(0, at - shape.length), min(len(values), at + size + shape.length)
                 n = b - a
                 every = lambda x, n=n: np.full(n, x, np.int64)
-                yield Part(shape.units(values[a:b]), every(i), every(a), every(0), every(n), (at - a, min(b, at + size) - a))
+                yield Part(shape.units(values[a:b]), values[a:b], every(i), every(a), every(0), every(n), (at - a, min(b, at + size) - a))
             continue
         group.append((i, values))
         held += len(values)
