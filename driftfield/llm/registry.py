@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup
+from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, warc
 from driftfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": lambda spark, sf_dir: warc.query(read(spark, sf_dir, "pages")),
     "op2_line_dedup": _documents(line_dedup.query),
     "op3_substring_dedup": _documents(substring_dedup.query),
     "op4_decontamination": lambda spark, sf_dir: decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
