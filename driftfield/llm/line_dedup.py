@@ -45,20 +45,48 @@ def _halves() -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _pair(kind: str, *x: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(f"{kind}1"), *x), F.xxhash64(F.lit(f"{kind}2"), *x)]
+
+
+def _blocks() -> Column:
+    """A line cut to blocks, each struck out in turn: what stands around the block as a key, and the block.
+
+    With L the longer one's length, blocks have about its square root of
+    characters; two lines within one edit agree around the block that holds it,
+    counted from the front before it and from the end behind it. A line stands
+    as the longer one (or as one of equal length), and as the shorter.
+    """
+    n = F.length("line")
+
+    def cut(longer: Column, role: str) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(longer))).cast("int")
+
+        def block(j: Column) -> Column:
+            head, behind = j * size, F.greatest(F.lit(0), longer - (j + 1) * size)
+            k = _pair("block", longer, j, F.substring("line", F.lit(1), head), F.right("line", behind))
+            middle = F.substring("line", head + 1, n - head - behind)
+            return F.struct(F.lit(role).alias("role"), k[0].alias("b1"), k[1].alias("b2"), middle.alias("middle"))
+
+        return F.transform(F.sequence(F.lit(0), F.ceil(longer / size).cast("int") - 1), block)
+
+    return F.concat(cut(n, "long"), cut(n + 1, "short"))
+
+
 def _neighbourhood() -> Column:
-    """The keys of a line's deletion neighbourhood.
+    """The keys of a block's deletion neighbourhood, within equal surroundings.
 
-    ``whole``: the line itself, met by a longer line with one character deleted.
-    ``gone``: the line with one character deleted, met by the whole line equal to it.
-    ``swap``: the same with the place of the deletion, met by a line that has another character there.
+    ``whole``: a shorter line's block, met by a longer line's with one character deleted.
+    ``gone``: a block with one character deleted, met by the whole block equal to it.
+    ``swap``: the same with the place of the deletion, met by a block that has another character there.
     """
-    without = lambda i: F.concat(F.substring("line", F.lit(1), i), F.substring("line", i + 2, F.length("line")))
-    pair = lambda kind, *x: [F.xxhash64(F.lit(f"{kind}1"), *x), F.xxhash64(F.lit(f"{kind}2"), *x)]
+    around = [F.col("b1"), F.col("b2")]
+    without = lambda i: F.concat(F.substring("middle", F.lit(1), i), F.substring("middle", i + 2, F.length("middle")))
     key = lambda kind, pair: F.struct(F.lit(kind).alias("kind"), pair[0].alias("k1"), pair[1].alias("k2"))
-    places = F.sequence(F.lit(0), F.length("line") - 1)
-    gone = F.transform(places, lambda i: key("gone", pair("one", without(i))))
-    swap = F.transform(places, lambda i: key("swap", pair("swap", i, without(i))))
-    return F.concat(F.array(key("whole", pair("one", F.col("line")))), gone, swap)
+    places = F.sequence(F.lit(0), F.length("middle") - 1)
+    gone = F.transform(places, lambda i: key("gone", _pair("one", *around, without(i))))
+    swap = F.transform(places, lambda i: key("swap", _pair("swap", *around, i, without(i))))
+    return F.when(F.col("role") == "short", F.array(key("whole", _pair("one", *around, F.col("middle"))))).otherwise(F.concat(gone, swap))
 
 
 def _near(firsts: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
@@ -73,15 +101,16 @@ def _near(firsts: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
     texts = _lines(docs).join(F.broadcast(screened) if few else screened, ["h1", "h2"], "left_semi")
     texts = texts.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("line").alias("line"))
     texts = table(texts, "line-texts")
+    # Strike out blocks; only lines that then agree with another go on, with that block.
+    struck = texts.select(F.struct("place", "h1", "h2").alias("me"), F.inline(_blocks()))
+    agree = struck.groupBy("b1", "b2").agg(F.min("me").alias("a"), F.max("me").alias("b")).where("a != b").select("b1", "b2")
+    struck = struck.join(agree, ["b1", "b2"], "left_semi")
     # Neighbourhood: in a group of equal keys every line is one edit from the others of the other role.
-    emitted = texts.select("h1", "h2", "place", F.inline(_neighbourhood())).select("*", F.struct("place", "h1", "h2").alias("me"))
-    one = emitted.where("kind != 'swap'")
+    emitted = struck.select("me", F.inline(_neighbourhood()))
     same = Window.partitionBy("k1", "k2")
-    other = F.when(F.col("kind") == "gone", F.min(F.when(F.col("kind") == "whole", F.col("me"))).over(same)).otherwise(
-        F.min(F.when(F.col("kind") == "gone", F.col("me"))).over(same)
-    )
-    met = one.select("me", other.alias("other"))
-    met = met.unionByName(emitted.where("kind = 'swap'").select("me", F.min("me").over(same).alias("other")))
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me"))).over(same)
+    other = F.when(F.col("kind") == "gone", least("whole")).when(F.col("kind") == "whole", least("gone")).otherwise(least("swap"))
+    met = emitted.select("me", other.alias("other"))
     pairs = met.where(F.col("other") < F.col("me")).distinct()
     # Verify: fetch both lines and count the edits.
     mine = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
@@ -101,10 +130,10 @@ def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = MIN_FUZZY) -> Da
     an earlier line is within ``max_edits`` insertions, deletions or
     substitutions of it (judged on the input, not on what is left). Blank lines
     stay. Equal lines are joined by digest first. A screen on halves of lines
-    finds all that can have a neighbour; those emit their deletion
-    neighbourhood as hashed keys, groups of equal keys name the earliest line,
-    and the edit distance of those pairs is verified. A group gives each member
-    one partner, never all pairs.
+    finds all that can have a neighbour, and one on blocks finds where its edit
+    can be. Those blocks emit their deletion neighbourhood as hashed keys, groups
+    of equal keys name the earliest line, and the edit distance of those pairs is
+    verified. A group gives each member one partner, never all pairs.
 
     Returns doc_id, d1, d2 (digest of the input text), n_lines, n_removed, kept
     (the text that is left); a row per distinct doc_id and text, since rows that
