@@ -153,19 +153,22 @@ EVENTS_SQL = """traj as (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's lines as a two-dimensional trajectory with unit time step: quantity / 10, and price per item / 100."""
+    """Each order's lines as a two-dimensional trajectory with unit time step: quantity / 10, and price per item / 97.
+
+    Numbers that an order lacks are masked frames; of lines that share one, the largest values count.
+    """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(
+    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    return one.select(
         F.col("l_orderkey").alias("dataset_id"), F.lit(0).cast("long").alias("particle_id"), (F.col("l_linenumber") - 1).cast("long").alias("time_idx"),
-        (F.col("l_linenumber") - 1).cast("double").alias("t"), (F.col("l_quantity") / 10).alias("x0"),
-        (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("x1"),
+        (F.col("l_linenumber") - 1).cast("double").alias("t"), (F.col("q") / 10).alias("x0"), (F.col("p") / 97).alias("x1"),
     )
 
 
 LINES_SQL = """traj as (
   select l_orderkey dataset_id, 0::bigint particle_id, (l_linenumber - 1)::bigint time_idx, (l_linenumber - 1)::double t,
-         l_quantity / 10 x0, l_extendedprice / l_quantity / 100 x1
-  from lineitem)"""
+         max(l_quantity) / 10 x0, max(l_extendedprice / l_quantity) / 97 x1
+  from lineitem group by l_orderkey, l_linenumber)"""
 
 
 def swarm(spark: SparkSession, sf_dir: str, per_frame: int = 40) -> DataFrame:
