@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.plans import interactions, overdamped, tables, underdamped
+from driftfield.plans import diagnostics, interactions, overdamped, tables, underdamped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (overdamped, underdamped, tables, interactions):
+for _module in (overdamped, underdamped, tables, interactions, diagnostics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
