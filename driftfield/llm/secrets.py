@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 
 def log_table(width: int) -> list[float]:
-    """c * log2(c) for counts up to ``width``; a window holds one more than its width as it moves."""
+    """c * log2(c) for counts up to ``width``."""
     return [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
 
 
@@ -67,7 +67,7 @@ class Scanner:
     """
 
     def __init__(self, width: int = 20, limits: dict[str, float] | None = None, allowed: Sequence[str] = ALLOWED):
-        self.width, self.table = width, log_table(width + 1)
+        self.width, self.table = width, log_table(width + 1)  # one enters before one leaves
         self.limits = limits or {"hex": 3.0, "base64": 3.8}
         self.allowed = re.compile("|".join(f"(?:{x})" for x in allowed if r"\1" not in x)) if allowed else None
         self.repeated = any(r"\1" in x for x in allowed)
