@@ -158,6 +158,25 @@ class Langevin:
         chosen = select(front, criterion, n=len(fit.moments), tau=self.tau, p0=p0)
         return fit.restricted(front.support[chosen]), front
 
+    def holdout_score(self, fit: Fit, other: DataFrame) -> float:
+        """Residual error of a fitted force on other data, normalised by the residual of no force."""
+        model = type(self)(other, self.dim)
+        x, a = [F.col(f"x{i}") for i in range(self.dim)], self.inverse
+        v = [difference(f"x{i}", 0) / est.step() for i in range(self.dim)]
+        f = [e.column({f"v{i}": v[i] for i in range(self.dim)} | {f"x{i}": x[i] for i in range(self.dim)}) for e in fit.field().reshape(-1)]
+        move = [v[i] if self.kinds[0] == "od_lambda" else est.ud_acceleration("symmetric", i) for i in range(self.dim)]
+        square = lambda u: sum((u[i] * u[j] * float(a[i, j]) for i in range(self.dim) for j in range(self.dim)), F.lit(0.0)) * est.step()
+        ok = mask(["dX"] if self.kinds[0] == "od_lambda" else ["dX", "dX_minus"])
+        row = model.rows.where(ok).agg(F.sum(square([m - g for m, g in zip(move, f, strict=True)])).alias("r"), F.sum(square(move)).alias("n")).first()
+        return row["r"] / row["n"]
+
+    def summary(self, fit: Fit) -> list[dict]:
+        """A row per feature of the support: label, coefficient, standard error, and their ratio."""
+        return [
+            {"feature": fit.basis.labels[i], "coefficient": float(fit.coefficients[i]), "stderr": float(e), "ratio": float(abs(fit.coefficients[i]) / e) if e else math.inf}
+            for i, e in enumerate(fit.stderr) if i in set(fit.support)
+        ]
+
     def compare_to_exact(self, fit: Fit, exact: Sequence) -> dict[str, float]:
         """Mean squared error of the force in units of the noise, and normalised by the fitted force's own square."""
         ai, d = self.inverse, self.dim

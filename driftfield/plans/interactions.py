@@ -241,3 +241,24 @@ def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = gr.block_downscale(grid(spark, sf_dir), ["x0"], 3, SHAPE, 0.5)
     return b.select("time_idx", "c0", "c1", rounded("x0", F.col("x0")))
+
+
+@register(
+    "layout_equations",
+    site_sql("pbc", CROSS, "round((f0 - f1) / 2, 6) grad0_a, round((f2 - f3) / 2, 6) grad1_a, round(f0 + f1 + f2 + f3 - 4 * x0, 6) lap_a, round((f0 - f1) / 2 + (g2 - g3) / 2, 6) div_u"),
+)
+def layout_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar's gradient and Laplacian and a vector's divergence, asked for by name."""
+    from driftfield.operators.layout import Layout, scalar, vector
+
+    plan = Layout(SHAPE)
+    names = plan.grad(scalar("a", "x0")) + plan.lap(scalar("a", "x0")) + plan.div(vector("u", ["x0", "x1"]))
+    return plan.evaluate(grid(spark, sf_dir)).select("time_idx", "c0", "c1", *[rounded(n, F.col(n)) for n in names])
+
+
+@register("degrade_spatial")
+def degrade_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftfield.operators.layout import degrade_spatial as degrade
+
+    d = degrade(grid(spark, sf_dir), ["x0"], SHAPE, blur=1, factor=2, noise=0.1, loss=0.1, seed=5)
+    return d.groupBy("time_idx").agg(F.count("*").alias("n"), F.avg("x0").alias("mean"))

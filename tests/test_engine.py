@@ -33,6 +33,8 @@ def test_overdamped_recovery(trap):
     assert abs(c["x0*e0"] + 2) < 0.35 and abs(c["x1*e1"] + 1) < 0.25
     assert model.compare_to_exact(sparse, [-2.0 * Var("x0"), -1.0 * Var("x1")])["nmse"] < 0.05
     assert abs(model.entropy_production(bases.linear(2).vectorize())["debiased"]) < 30
+    assert model.holdout_score(sparse, trap) < 1
+    assert [r["feature"] for r in model.summary(sparse)] == [fit.basis.labels[i] for i in sparse.support]
     again = Fit.from_json(sparse.to_json(), fit.basis)
     assert np.allclose(again.coefficients, sparse.coefficients)
     band = sparse.predict_ci(trap.limit(5)).collect()
