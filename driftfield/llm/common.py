@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,7 +51,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    free(spark)
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Let go of what finished steps hold on disk: Spark drops shuffle files once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that :func:`table` wrote and no plan that is still to run will read."""
+    _delete(df.sparkSession, df._shared_path)
 
 
 def drop_tables() -> None:
@@ -58,9 +78,7 @@ def drop_tables() -> None:
     while _tables:
         spark, path = _tables.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone; nothing is left to clean then
             return
 

@@ -12,34 +12,44 @@ from driftfield.llm.seeds import BASES, BYTES, U64, Rolling
 WINDOW, EVERY = 8, 16
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks from 1 of rows by several keys, the first leading; equal rows share one."""
-    order = np.lexsort(keys[::-1])
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of numbers; equal numbers share one."""
+    order = np.argsort(key)
+    ordered = key[order]
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    new[1:] = ordered[1:] != ordered[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
-def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, width: int = 1) -> np.ndarray:
     """Ranks of all suffixes of strings laid end to end, by prefix doubling.
 
-    ``ends`` has for each place where its string ends. Equal suffixes share a
-    rank; a proper prefix comes first. Sorted by rank, the places are the suffix array.
+    ``symbols`` order the first ``width`` symbols of each suffix, ``ends`` has for
+    each place where its string ends. Equal suffixes share a rank; a proper
+    prefix comes first. Sorted by rank, the places are the suffix array.
     """
     ranks = _dense(symbols)
     longest = int((ends - np.arange(len(ends))).max(initial=0))
-    width = 1
     while width < longest:
         following = np.arange(len(ranks)) + width
         inside = following < ends
-        ranks = _dense(ranks, np.where(inside, ranks[np.where(inside, following, 0)], 0))
+        ranks = _dense(ranks << 32 | np.where(inside, ranks[np.where(inside, following, 0)], 0))
         width *= 2
     return ranks
 
 
+def packed(symbols: np.ndarray, ends: np.ndarray, width: int = 7) -> np.ndarray:
+    """``width`` symbols of under 9 bits as one number, so that doubling starts there; 0 stands past a string's end."""
+    out = np.zeros(len(symbols), np.int64)
+    at = np.arange(len(symbols))
+    padded = np.append(symbols, np.zeros(width, symbols.dtype))
+    for k in range(width):
+        out = out << 9 | np.where(at + k < ends, padded[k : k + len(symbols)], 0)
+    return out
+
+
 class Parse:
     """A collection of texts, parsed into phrases.
 
@@ -80,18 +90,22 @@ class Parse:
         array; the second that of the following phrases in the parse's.
         """
         starts, ends = self.phrase_start, self.phrase_end
-        content = np.stack([self.rolling(starts, ends), self.other(starts, ends), self.final.astype(U64)], axis=1)
-        _, first, which = np.unique(content, axis=0, return_index=True, return_inverse=True)
-        which = which.reshape(-1)
-        # The dictionary: each distinct phrase once; one that ends its text has the mark 0 behind it.
+        content = np.rec.fromarrays([self.rolling(starts, ends), self.other(starts, ends) ^ self.final.astype(U64)])
+        order = np.lexsort((content.f1, content.f0))
+        new = np.ones(len(order), bool)
+        new[1:] = content[order[1:]] != content[order[:-1]]
+        first, which = order[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        # The dictionary: each distinct phrase once; one that ends its text has a mark behind it, below all bytes.
         size = ends[first] - starts[first] + self.final[first]
         base = np.cumsum(size) - size
         entry = np.repeat(np.arange(len(first)), size)
         offset = np.arange(int(size.sum())) - base[entry]
         source = starts[first][entry] + offset
-        mark = source >= ends[first][entry]
-        symbols = np.where(mark, 0, self.data[np.where(mark, 0, source)].astype(np.int64) + 1)
-        ranks = suffix_ranks(symbols, (base + size)[entry])
+        mark = source >= ends[first][entry]  # ends of phrases, in the data
+        symbols = np.where(mark, 1, self.data[np.where(mark, 0, source)].astype(np.int64) + 2)
+        ends = (base + size)[entry]
+        ranks = suffix_ranks(packed(symbols, ends), ends, 7)
         # The parse: phrases by rank in the dictionary, text by text.
         names = ranks[base][which]
         last = np.searchsorted(starts, self.end[starts])  # where the next text's phrases start
@@ -114,7 +128,7 @@ def earlier_runs(texts: Sequence[bytes], places: np.ndarray, length: int) -> tup
     if not len(at):
         return at, at
     rest, after = parse.order()
-    at = at[np.lexsort((after[at], rest[at]))]  # the suffix array, where a run fits
+    at = at[np.argsort(rest[at] << 32 | after[at])]  # the suffix array, where a run fits
     first, second = parse.rolling(at, at + length), parse.other(at, at + length)
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
     begin = np.flatnonzero(new)

@@ -13,15 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, digest, small_batches, table
+from driftfield.llm.common import column, digest, drop, small_batches, table
 from driftfield.llm.seeds import U64, Anchors, Shape, mix, parts
 
 #: Bits of a screen, as a power of 2: at least, and at most (256 MB). A fuller screen lets more through and stays right.
 SCREEN_BITS = (20, 31)
 
-#: The order of documents and places: null ids last; documents that share an id by digest.
-PLACE = ("no_id", "doc_id", "d1", "d2", "at")
-
 
 class Screen:
     """A bitmap of hashes. What it holds always passes; other hashes seldom do."""
@@ -30,36 +27,47 @@ class Screen:
         self.bits, self.data = bits, np.frombuffer(data, np.uint8)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes >> U64(64 - self.bits)
+        bit = (hashes >> U64(1)) & U64((1 << self.bits) - 1)
         return self.data[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1 == 1
 
 
 def screen(hashes: DataFrame) -> Screen:
-    """The bitmap of the column ``h``. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes."""
+    """The bitmap of the column ``h``. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes.
+
+    Low bits are taken: anchors are minima, so their high bits are mostly 0.
+    """
     least, most = SCREEN_BITS
+    hashes = table(hashes, "screen")
     bits = min(most, max(least, (16 * hashes.count()).bit_length()))
-    bit = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.shiftright("h", 1).bitwiseAND(F.lit((1 << bits) - 1))
     segments = hashes.groupBy(F.shiftright(bit, 15).alias("segment")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
     data = bytearray(1 << (bits - 3))
     for r in segments.toLocalIterator():
         data[r["segment"] << 12 : (r["segment"] + 1) << 12] = r["map"]
+    drop(hashes)
     return Screen(bits, bytes(data))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(no_id, doc_id, d1, d2, raw): the place of each document and its text as UTF-8; null text is null."""
+def by_text(docs: DataFrame) -> DataFrame:
+    """(d1, d2, raw): texts as UTF-8 with their digest; null text is null."""
     d1, d2 = digest("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select(
-        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), d1.alias("d1"), d2.alias("d2"),
-        F.encode("text", "UTF-8").alias("raw"),
-    )
+    return docs.select(F.col("text").cast("string").alias("text")).select(d1.alias("d1"), d2.alias("d2"), F.encode("text", "UTF-8").alias("raw"))
+
+
+def by_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, d1, raw): the order of documents, and texts. A null id stands as the largest; a digest orders documents that share an id."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", digest("text")[0].alias("d1"), F.encode("text", "UTF-8").alias("raw"))
+
+
+def keys_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c != "raw"]
 
 
 def scan(rows: DataFrame, shape: Shape, found: Callable[[Anchors, dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Run ``found`` over the anchors of whole texts; it gets each document's keys by column as well."""
     small_batches(rows.sparkSession)
-    keys = [c for c in rows.columns if c != "raw"]
+    keys = keys_of(rows)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,18 +83,19 @@ def scan(rows: DataFrame, shape: Shape, found: Callable[[Anchors, dict[str, np.n
 
 
 def places(a: Anchors, own: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns of ``PLACE`` for places of a part."""
+    """The keys of documents and the places in them, for places of a part."""
     doc = a.part.doc[at]
-    return {k: own[k][doc] for k in ("no_id", "doc_id", "d1", "d2")} | {"at": at + a.part.shift[at]}
+    return {k: own[k][doc] for k in own} | {"at": at + a.part.shift[at]}
 
 
-PLACED = "no_id boolean, doc_id long, d1 long, d2 long, at long"
+def placed(rows: DataFrame) -> str:
+    return "".join(f", {k} long" for k in [*keys_of(rows), "at"])
 
 
 def place_hash(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     """One hash for an anchor at a place."""
     x = h.view(U64)
-    for k in PLACE:
+    for k in sorted(p):
         x = mix(x ^ mix(p[k].astype(np.int64).view(U64)))
     return x
 
@@ -103,21 +112,26 @@ def count_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
 
 def occurrences(rows: DataFrame, shape: Shape) -> DataFrame:
     """(h, x, place) of the anchors that occur at least twice; x is a hash of what surrounds one."""
-    sieve = rows.sparkSession.sparkContext.broadcast(screen(table(count_anchors(rows, shape), "anchors")))
+    sieve = rows.sparkSession.sparkContext.broadcast(screen(count_anchors(rows, shape)))
 
     def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         passed = sieve.value(a.h)
         a.at, a.h = a.at[passed], a.h[passed]
         return {"h": a.h, "x": a.context()} | places(a, own, a.at)
 
-    return table(scan(rows, shape, found, f"h long, x long, {PLACED}"), "anchor-places")
+    return table(scan(rows, shape, found, f"h long, x long{placed(rows)}"), "anchor-places")
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(h, x, n, first, kinds): each anchor in each surrounding, how often and where first, and in how many surroundings the anchor stands."""
-    each = table(found.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")), "contexts")
+    """(h, x, n, first): each anchor in each surrounding, how often and where first."""
+    place = [c for c in found.columns if c not in ("h", "x")]
+    return table(found.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")), "contexts")
+
+
+def kinds(each: DataFrame) -> DataFrame:
+    """(h, first, kinds) of the anchors that stand in several surroundings, and in how many."""
     several = each.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    return each.join(several, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    return table(each.select("h", "first").join(several, "h"), "several")
 
 
 def place_screen(chosen: DataFrame) -> Screen:
@@ -125,10 +139,11 @@ def place_screen(chosen: DataFrame) -> Screen:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: np.asarray(column(batch, k).to_numpy(zero_copy_only=False)) for k in (*PLACE, "h")}
-            yield pa.RecordBatch.from_arrays([pa.array(place_hash(cols, cols["h"]).view(np.int64))], ["h"])
+            cols = {k: np.asarray(column(batch, k).to_numpy()) for k in batch.schema.names}
+            h = cols.pop("h")
+            yield pa.RecordBatch.from_arrays([pa.array(place_hash(cols, h).view(np.int64))], ["h"])
 
-    return screen(table(chosen.select("h", "first.*").mapInArrow(hashes, "h long"), "anchor-screen"))
+    return screen(chosen.select("h", "first.*").mapInArrow(hashes, "h long"))
 
 
 def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
@@ -144,7 +159,7 @@ def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
         _, starts, w1, w2 = a.runs(wanted)
         return {"w1": w1, "w2": w2} | places(a, own, starts)
 
-    return scan(rows, shape, found, f"w1 long, w2 long, {PLACED}")
+    return scan(rows, shape, found, f"w1 long, w2 long{placed(rows)}")
 
 
 def surroundings(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
@@ -160,4 +175,4 @@ def surroundings(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
         around[:] = [a.part.values[i:j].tobytes() for i, j in zip(low, high, strict=True)]
         return {"h": a.h[wanted]} | places(a, own, at) | {"at": low + a.part.shift[at], "around": around}
 
-    return scan(rows, shape, found, f"h long, {PLACED}, around binary")
+    return scan(rows, shape, found, f"h long{placed(rows)}, around binary")

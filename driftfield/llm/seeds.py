@@ -118,7 +118,7 @@ class Part:
     core: tuple[int, int]
 
 
-def parts(shape: Shape, texts: Sequence[bytes | None], size: int = 1 << 18) -> Iterator[Part]:
+def parts(shape: Shape, texts: Sequence[bytes | None], size: int = 1 << 16) -> Iterator[Part]:
     """Cut a batch of texts to parts of about ``size`` units. A long text comes in pieces that overlap by a run on both sides."""
     group: list[tuple[int, np.ndarray]] = []
     held = 0

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, small_batches, table
-from driftfield.llm.repeats import ambiguous, contexts, keyed, occurrences
+from driftfield.llm.common import column, digest, drop, small_batches, table
+from driftfield.llm.repeats import ambiguous, by_text, contexts, kinds, occurrences
 from driftfield.llm.seeds import Shape
 
 
@@ -37,18 +37,25 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     runs are the maximal repeats of at least ``length`` words.
     """
     shape = Shape(length, gram, words=True)
-    rows = keyed(docs)
+    rows = by_text(docs)
     found = occurrences(rows, shape)
-    each = table(contexts(found), "contexts-kinds")
+    each = contexts(found)
     often = each.where("n > 1").select("h", "x")
     whole = found.join(often, ["h", "x"], "left_semi").select(
         "d1", "d2", F.greatest(F.lit(0), F.col("at") - (shape.reach - 1)).alias("s"), (F.col("at") + length).alias("e")
     )
-    runs = table(ambiguous(rows, shape, each.where("kinds > 1").select("h", "first")), "runs")
-    place = F.struct("d1", "d2", "at", "no_id", "doc_id")
+    whole = table(whole.distinct(), "spans-whole")
+    drop(found)
+    several = kinds(each)
+    drop(each)
+    runs = table(ambiguous(rows, shape, several.select("h", "first")), "runs")
+    drop(several)
+    place = F.struct("d1", "d2", "at")
     twice = runs.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("w1", "w2")
     some = runs.join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    spans = whole.unionByName(some).distinct()
+    some = table(some.distinct(), "spans-runs")
+    drop(runs)
+    spans = whole.unionByName(some)
     return spans.groupBy("d1", "d2").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
 
@@ -65,9 +72,10 @@ def dedup(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
     each other. An empty table gives no rows. Other columns are not read.
     """
     spans = repeated(docs, length, gram).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "starts", "ends")
-    rows = keyed(docs)
-    joined = rows.join(spans, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    joined = joined.select(F.expr("if(no_id, null, doc_id)").alias("doc_id"), "raw", "starts", "ends")
+    d1, d2 = digest("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", d1.alias("d1"), d2.alias("d2"), F.encode("text", "UTF-8").alias("raw"))
+    joined = rows.join(spans, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select("doc_id", "raw", "starts", "ends")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, small_batches, table
+from driftfield.llm.common import column, drop, small_batches, table
 from driftfield.llm.prefix_free import earlier_runs
-from driftfield.llm.repeats import PLACE, ambiguous, contexts, keyed, occurrences, surroundings
+from driftfield.llm.repeats import ambiguous, by_order, contexts, kinds, occurrences, surroundings
 from driftfield.llm.seeds import Shape
 from driftfield.llm.substring_dedup import merged
 
@@ -19,7 +19,9 @@ from driftfield.llm.substring_dedup import merged
 GROUP = 2000
 #: Bytes of surroundings parsed at once, whole anchors at a time.
 PARSED = 1 << 20
-SPAN = "no_id boolean, doc_id long, d1 long, d2 long, s long, e long"
+DOC = ["doc_id", "d1"]
+PLACE = [*DOC, "at"]
+SPAN = "doc_id long, d1 long, s long, e long"
 
 
 def numbered(rows: pa.Table) -> np.ndarray:
@@ -28,7 +30,7 @@ def numbered(rows: pa.Table) -> np.ndarray:
     Documents are numbered in order, and their numbers are spread by more than
     the longest text seen here.
     """
-    keys = [np.asarray(rows[k].to_numpy()) for k in ("no_id", "doc_id", "d1", "d2")]
+    keys = [np.asarray(rows[k].to_numpy()) for k in DOC]
     order = np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
@@ -52,8 +54,8 @@ def parsed(around: DataFrame, length: int) -> DataFrame:
         s, e = merged(text * (1 << 20) + start, text * (1 << 20) + start + length)
         which = s >> 20
         base = np.asarray(rows["at"].to_numpy())[which] if len(which) else at
-        keys = [rows[k].combine_chunks().take(pa.array(which)) for k in ("no_id", "doc_id", "d1", "d2")]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(base + (s - (which << 20))), pa.array(base + (e - (which << 20)))], ["no_id", "doc_id", "d1", "d2", "s", "e"])
+        keys = [rows[k].combine_chunks().take(pa.array(which)) for k in DOC]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(base + (s - (which << 20))), pa.array(base + (e - (which << 20)))], [*DOC, "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -72,7 +74,7 @@ def parsed(around: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(no_id, doc_id, d1, d2, starts, ends): for each document the byte spans of runs that start earlier.
+    """(doc_id, d1, starts, ends): for each document the byte spans of runs that start earlier.
 
     A run of ``length`` bytes repeats only if its anchor (the least hash of its
     grams) does. Where an anchor's whole surrounding stood before, each run
@@ -85,22 +87,29 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     hash, with partial minima.
     """
     shape = Shape(length, gram, words=False)
-    rows = keyed(docs)
+    rows = by_order(docs)
     found = occurrences(rows, shape)
-    each = table(contexts(found), "contexts-kinds")
+    each = contexts(found)
     place = F.struct(*PLACE)
     again = found.join(each.where("n > 1").select("h", "x", "first"), ["h", "x"]).where(place != F.col("first"))
-    doc = ["no_id", "doc_id", "d1", "d2"]
-    spans = again.select(*doc, F.greatest(F.lit(0), F.col("at") - (shape.reach - 1)).alias("s"), (F.col("at") + length).alias("e"))
-    few = each.where(f"kinds > 1 and kinds <= {GROUP}").select("h", "first")
-    spans = spans.unionByName(parsed(surroundings(rows, shape, few), length))
-    many = each.where(f"kinds > {GROUP}").select("h", "first")
+    again = again.select(*DOC, F.greatest(F.lit(0), F.col("at") - (shape.reach - 1)).alias("s"), (F.col("at") + length).alias("e"))
+    spans = [table(again, "spans-again")]
+    drop(found)
+    several = kinds(each)
+    drop(each)
+    spans.append(table(parsed(surroundings(rows, shape, several.where(f"kinds <= {GROUP}").select("h", "first")), length), "spans-parsed"))
+    many = several.where(f"kinds > {GROUP}").select("h", "first")
     if many.head(1):
         runs = table(ambiguous(rows, shape, many), "runs")
         first = runs.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
         late = runs.join(first, ["w1", "w2"]).where(place != F.col("first"))
-        spans = spans.unionByName(late.select(*doc, F.col("at").alias("s"), (F.col("at") + length).alias("e")))
-    return spans.groupBy(*doc).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+        spans.append(table(late.select(*DOC, F.col("at").alias("s"), (F.col("at") + length).alias("e")), "spans-runs"))
+        drop(runs)
+    drop(several)
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*DOC).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
 
 def dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
@@ -110,13 +119,12 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed), kept (what
     is left, as bytes). A row per input row. Null text is empty; a null doc_id
-    comes last; documents that share a doc_id are ordered by digest of their
+    comes last, as the largest long; documents that share a doc_id are ordered by digest of their
     text, and rows that repeat both are one document, so neither is earlier. An
     empty table gives no rows. Other columns are not read.
     """
-    doc = ["no_id", "doc_id", "d1", "d2"]
-    joined = keyed(docs).join(repeated(docs, length, gram), doc, "left")
-    joined = joined.select(F.expr("if(no_id, null, doc_id)").alias("doc_id"), "raw", "starts", "ends")
+    joined = by_order(docs).join(repeated(docs, length, gram), DOC, "left")
+    joined = joined.select(F.expr(f"nullif(doc_id, {(1 << 63) - 1})").alias("doc_id"), "raw", "starts", "ends")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
