@@ -16,31 +16,36 @@ from pyspark.sql import functions as F
 from driftfield.llm.common import column, digest, drop, small_batches, table
 from driftfield.llm.seeds import U64, Anchors, Shape, mix, parts
 
-#: Bits of a screen, as a power of 2: at least, and at most (256 MB). A fuller screen lets more through and stays right.
-SCREEN_BITS = (20, 31)
+#: Bits of a screen, as a power of 2: at least, and at most (128 MB). A fuller screen lets more through and stays right.
+SCREEN_BITS = (20, 30)
 
 
 class Screen:
-    """A bitmap of hashes. What it holds always passes; other hashes seldom do."""
+    """A bitmap of hashes, two bits each. What it holds always passes; of other hashes one in some hundreds does.
+
+    Bits come from the hash's low end and its middle: anchors are minima, so their
+    high bits are mostly 0.
+    """
 
     def __init__(self, bits: int, data: bytes):
         self.bits, self.data = bits, np.frombuffer(data, np.uint8)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        bit = (hashes >> U64(1)) & U64((1 << self.bits) - 1)
-        return self.data[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1 == 1
+        passed = np.ones(len(hashes), bool)
+        for shift in (1, 25):
+            bit = (hashes >> U64(shift)) & U64((1 << self.bits) - 1)
+            passed &= self.data[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1 == 1
+        return passed
 
 
 def screen(hashes: DataFrame) -> Screen:
-    """The bitmap of the column ``h``. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes.
-
-    Low bits are taken: anchors are minima, so their high bits are mostly 0.
-    """
+    """The bitmap of the column ``h``. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes."""
     least, most = SCREEN_BITS
     hashes = table(hashes, "screen")
-    bits = min(most, max(least, (16 * hashes.count()).bit_length()))
-    bit = F.shiftright("h", 1).bitwiseAND(F.lit((1 << bits) - 1))
-    segments = hashes.groupBy(F.shiftright(bit, 15).alias("segment")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
+    bits = min(most, max(least, (32 * hashes.count()).bit_length()))
+    taken = [F.shiftright("h", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in (1, 25)]
+    rows = hashes.select(F.explode(F.array(*taken)).alias("bit"))
+    segments = rows.groupBy(F.shiftright("bit", 15).alias("segment")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
     data = bytearray(1 << (bits - 3))
     for r in segments.toLocalIterator():
         data[r["segment"] << 12 : (r["segment"] + 1) << 12] = r["map"]

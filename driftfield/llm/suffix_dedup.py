@@ -16,7 +16,7 @@ from driftfield.llm.seeds import Shape
 from driftfield.llm.substring_dedup import merged
 
 #: Surroundings of one anchor that are parsed in one task; those of more are compared run by run.
-GROUP = 2000
+GROUP = 4000
 #: Bytes of surroundings parsed at once, whole anchors at a time.
 PARSED = 1 << 20
 DOC = ["doc_id", "d1"]
