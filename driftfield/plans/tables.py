@@ -137,21 +137,22 @@ select dataset_id, time_idx, round({_v}, 6) v0, round({_v.replace("xp", "yp").re
 @register(
     "extras_by_prefix",
     f"""with {EVENTS_SQL},
-g as (select dataset_id % 10 dataset_id, dataset_id particle_id, time_idx, x0 from traj)
+g as (select dataset_id % 10 dataset_id, dataset_id particle_id, time_idx, x0 / 7.3 x0 from traj)
 select dataset_id, particle_id, time_idx, round(avg(x0) over (partition by dataset_id), 6) "G_a", round(avg(x0) over (partition by dataset_id, time_idx), 6) "TG_b",
        round(avg(x0) over (partition by dataset_id, particle_id), 6) "P_c", round(x0, 6) "TP_d" from g""",
 )
 def extras_by_prefix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select((F.col("dataset_id") % 10).alias("dataset_id"), F.col("dataset_id").alias("particle_id"), "time_idx", *[F.col("x0").alias(n) for n in ("G_a", "TG_b", "P_c", "TP_d")])
+    e = events(spark, sf_dir).select((F.col("dataset_id") % 10).alias("dataset_id"), F.col("dataset_id").alias("particle_id"), "time_idx", *[(F.col("x0") / 7.3).alias(n) for n in ("G_a", "TG_b", "P_c", "TP_d")])
     return extras_by_prefix(e).select("dataset_id", "particle_id", "time_idx", *[rounded(n, F.col(n)) for n in ("G_a", "TG_b", "P_c", "TP_d")])
 
 
 @register(
     "monomials_2d_features",
-    f"""with {LINES_SQL} select dataset_id, time_idx, 1.0::double f0, round(x0, 6) f1, round(x1, 6) f2, round(x0 * x0, 6) f3, round(x0 * x1, 6) f4, round(x1 * x1, 6) f5 from traj""",
+    f"""with {LINES_SQL} select dataset_id, time_idx, 1.0::double f0, round(x0, 6) f1, round(x1, 6) f2, round(x0 * x0, 6) f3, round(x0 * x1 / 1.7, 6) f4, round(x1 * x1 / 1.7, 6) f5 from traj""",
 )
 def monomials_2d_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bases.monomials_up_to(2, 2).columns()
+    b[4:] = b[4:] / F.lit(1.7)  # off the boundaries of rounding
     return lines(spark, sf_dir).select("dataset_id", "time_idx", *[rounded(f"f{i}", c) for i, c in enumerate(b)])
 
 
