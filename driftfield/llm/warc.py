@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from driftfield.llm.common import column, new_path, table
 
 END = "\r\n"
 VERSION = "WARC/1.1"
+#: Up to this many digests (about 100 bytes each) of payloads that occur more than once are broadcast.
+BROADCAST_DIGESTS = 200_000
 #: Records in an archive file at most, so that a reader holds a bounded file.
 RECORDS = 1000
 #: One date for all records: archives of the same pages are the same bytes.
@@ -40,7 +43,8 @@ def plan(pages: DataFrame, min_bytes: int) -> DataFrame:
     """Pages with their payload, its digests, and the page that keeps it.
 
     Equal payloads meet by SHA-256 with a partial maximum of page_id; only digests
-    move. Pages are then joined to the digests that occur more than once.
+    move. Pages are then joined to the digests that occur more than once, which
+    are broadcast while they are few, so that pages stay where they are.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -49,11 +53,13 @@ def plan(pages: DataFrame, min_bytes: int) -> DataFrame:
     raw = F.encode("payload", "UTF-8")
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), base32_sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha256"))
     kept = rows.where(F.col("n") >= min_bytes).groupBy("sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-    return rows.join(kept.where("copies > 1").drop("copies"), "sha256", "left")
+    kept = table(kept.where("copies > 1").drop("copies"), "warc-copies")
+    few = kept.count() <= BROADCAST_DIGESTS
+    return rows.join(F.broadcast(kept) if few else kept, "sha256", "left")
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write a WARC record per page to ``path``, as files of at most ``RECORDS`` records.
+    """Write a WARC record per page to ``path``, as gzip files of at most ``RECORDS`` records.
 
     Of records with equal payloads of at least ``min_bytes`` bytes, that of the
     largest page_id is a response and the others are revisits that refer to it;
@@ -82,7 +88,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         line("Content-Length", F.octet_length(body).cast("string")),
     )
     record = F.concat(head, F.lit(END), body).alias("value")
-    rows.select(record).write.option("lineSep", END * 2).option("maxRecordsPerFile", RECORDS).option("compression", "none").text(path)
+    rows.select(record).write.option("lineSep", END * 2).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 @dataclass
@@ -127,7 +133,7 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in column(batch, "content"):
                 rows = []
-                for r in parse(content.as_py()):
+                for r in parse(gzip.decompress(content.as_py())):
                     page = r.fields.get("X-Page-Id")
                     digest = r.fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     rows.append((None if page is None else int(page), r.fields["WARC-Type"], digest, r.fields["X-Payload-SHA256"], r.head, r.payload))
@@ -149,11 +155,10 @@ def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     payload, each content once. heads: page_id, record_type, sha256, and the
     record's exact bytes ahead of its payload.
     """
-    records = table(records, "warc-records")
     answers = records.where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     kept = answers.groupBy("sha256").agg(F.max(F.struct("page_id", "payload_digest", "payload_bytes", "payload")).alias("r"))
     payloads = table(kept.select("sha256", "r.*"), "warc-payloads")
-    return payloads, records.select("page_id", "record_type", "sha256", "head")
+    return payloads, table(records.select("page_id", "record_type", "sha256", "head"), "warc-heads")
 
 
 def reconstruct(payloads: DataFrame, heads: DataFrame) -> DataFrame:
