@@ -157,8 +157,8 @@ def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     answers = records.where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     kept = answers.groupBy("sha256").agg(F.max(F.struct("page_id", "payload_digest", "payload_bytes", "payload")).alias("r"))
-    payloads = table(kept.select("sha256", "r.*"), "warc-payloads")
-    return payloads, table(records.select("page_id", "record_type", "sha256", "head"), "warc-heads")
+    payloads = table(kept.select("sha256", "r.*"), "warc-payloads", compression="zstd")
+    return payloads, table(records.select("page_id", "record_type", "sha256", "head"), "warc-heads", compression="zstd")
 
 
 def reconstruct(payloads: DataFrame, heads: DataFrame) -> DataFrame:
