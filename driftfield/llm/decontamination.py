@@ -12,35 +12,52 @@ LOWERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to this many test n-grams (of about 300 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_GRAMS = 200_000
+#: Up to this many pairs of words that begin a test window are sent as a set of hashes.
+SET_PAIRS = 20_000
 
 
 def words_of(text: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lower_ascii)
+    """Words as they stand in the text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows(hashes: str, n: int) -> Column:
-    """Hashes of all runs of ``n`` words, in order of their start."""
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1)))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("m"), i.alias("i"), F.xxhash64(F.slice(hashes, i, n)).alias("h")))
+def lowered(words: Column) -> Column:
+    return F.transform(words, lower_ascii)
 
 
 def test_grams(benchmark: DataFrame, n: int) -> DataFrame:
     """(h, m, gram, item_id): the windows of each item; one of fewer words than ``n`` is one window."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), lowered(words_of("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     grams = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram")).distinct()
-    return grams.select(F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("h"), F.size("gram").alias("m"), "gram", "item_id")
+    return grams.select(F.xxhash64("gram").alias("h"), F.size("gram").alias("m"), "gram", "item_id")
+
+
+def beginnings(grams: DataFrame, lengths: list[int]) -> Column:
+    """The places (from 1) of the array ``w`` where a window may begin.
+
+    The first two words of a window, by a hash of their plain lower case (which
+    agrees wherever the contract's does), must be those of some test window. The
+    set of hashes goes out with the tasks while it is small; a larger one is left
+    to the join, and every place may begin a window.
+    """
+    pair = F.xxhash64(F.lower(F.get("gram", F.lit(0))), F.lower(F.get("gram", F.lit(1))))
+    pairs = grams.select(pair.alias("k")).distinct().limit(SET_PAIRS + 1).collect()
+    places = "sequence(1, size(w))"
+    if 0 < len(pairs) <= SET_PAIRS and 1 not in lengths:
+        keys = ", ".join(f"{r['k']}L" if r["k"] > -(1 << 63) else "bigint('-9223372036854775808')" for r in pairs)
+        places = f"filter({places}, i -> xxhash64(lower(get(w, i - 1)), lower(get(w, i))) in ({keys}))"
+    return F.expr(f"case when size(w) > 0 then {places} end")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Find the test items' windows in whole documents.
 
     The items' windows are a small table, broadcast below ``BROADCAST_GRAMS``
-    rows. Each document's windows meet it by hash as they are generated, so only
-    hits leave the scan; a hit counts after its words are compared. Hits are
-    gathered per document and their union is counted with a running end.
+    rows. The windows of a document that begin like a test window meet it by
+    hash as they are generated, so only hits leave the scan; a hit counts after
+    its words are compared. Hits are gathered per document and their union is
+    counted with a running end.
 
     Returns doc_id, n_words, n_hit (words inside a window's occurrence), n_items,
     items (ids as strings, in string order), contaminated; a row per input row.
@@ -54,13 +71,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d1, d2 = digest("text")
     hits = base.select("doc_id", d1.alias("d1"), d2.alias("d2"), words_of("text").alias("w"))
-    hits = hits.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
-    every = F.concat(*[windows("wh", m) for m in lengths]) if lengths else windows("wh", n)
-    hits = hits.select("doc_id", "d1", "d2", "w", F.inline(every))
-    if not few:
-        hits = hits.withColumn("w", F.slice("w", "i", "m"))
-    hits = hits.join(F.broadcast(grams) if few else grams, ["h", "m"])
-    hits = hits.where((F.slice("w", "i", "m") if few else F.col("w")) == F.col("gram"))
+    hits = hits.select("doc_id", "d1", "d2", "w", F.explode(beginnings(grams, lengths)).alias("i"))
+    sizes = F.array(*[F.lit(m) for m in lengths]).cast("array<int>")
+    hits = hits.select("doc_id", "d1", "d2", "w", "i", F.explode(F.filter(sizes, lambda m: F.col("i") + m - 1 <= F.size("w"))).alias("m"))
+    hits = hits.select("doc_id", "d1", "d2", "i", "m", lowered(F.slice("w", "i", "m")).alias("words"))
+    hits = hits.withColumn("h", F.xxhash64("words")).join(F.broadcast(grams) if few else grams, ["h", "m"])
+    hits = hits.where(F.col("words") == F.col("gram"))
     start = (F.col("i") - 1).alias("i")
     found = hits.groupBy("doc_id", "d1", "d2").agg(
         F.array_sort(F.collect_set(F.struct(start, "m"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
