@@ -6,6 +6,7 @@ time_idx), with t, x0.. and any extras. A frame that is masked or missing has no
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Sequence
@@ -89,11 +90,14 @@ def compress_particles(df: DataFrame) -> DataFrame:
 
     def pack(pdf):
         pdf = pdf.sort_values(["first", "particle_id"]).reset_index(drop=True)
-        ends: list[int] = []
+        busy: list[tuple[int, int]] = []  # heaps of (last frame, column) and of free columns: n log n for n tracks
+        free: list[int] = []
         slots = []
         for first, last in zip(pdf["first"], pdf["last"], strict=True):
-            slot = next((i for i, end in enumerate(ends) if end <= first - 2), len(ends))
-            ends[slot : slot + 1] = [last]
+            while busy and busy[0][0] <= first - 2:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            slot = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (last, slot))
             slots.append(slot)
         pdf["slot"] = slots
         return pdf[["dataset_id", "particle_id", "slot"]]
