@@ -261,11 +261,24 @@ select dataset_id, time_idx, round(c0 + c1 * x0 / 100, 6) f0,
 from traj, f, w where time_idx < 20""",
 )
 def predict_ci_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted force and its lower confidence bound at each series' first twenty places."""
+    """The fitted force and its lower confidence bound at each series' first twenty places; predict_ci_all has all places."""
+    return predict_ci_all(spark, sf_dir).where("time_idx < 20")
+
+
+@register(
+    "predict_ci_all",
+    SUMS_SQL.format(key="", group="") + f""",
+w as (select avg((u * u + 4 * u * m + m * m) / 4 / ((dt + dtm) / 2)) d from l where u is not null and m is not null)
+select dataset_id, time_idx, round(c0 + c1 * x0 / 100, 6) f0,
+       round(c0 + c1 * x0 / 100 - {norm_ppf(0.975)} * sqrt(2 * d / det * (g11 - 2 * g01 * x0 / 100 + g00 * x0 / 100 * x0 / 100)), 6) f0_low
+from traj, f, w""",
+)
+def predict_ci_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted force and its lower confidence bound at every event."""
     s = rows(spark, sf_dir)
     d = integrate(s, {"d": est.tensor("od_noisy", 0, 0)}, {"d": est.NEEDS["od_noisy"]}, weight_by_dt=False, mean=True)
     f = fitted(s, []).join(F.broadcast(d)).select("c0", "c1", "g00", "g01", "g11", "det", "d")
-    p = events(spark, sf_dir).where("time_idx < 20").join(F.broadcast(f))
+    p = events(spark, sf_dir).join(F.broadcast(f))
     x = F.col("x0") / 100
     var = 2 * F.col("d") / F.col("det") * (F.col("g11") - 2 * F.col("g01") * x + F.col("g00") * x * x)
     force = F.col("c0") + F.col("c1") * x

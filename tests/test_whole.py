@@ -45,3 +45,9 @@ def test_compress_particles_packs_all_orders(spark):
     got = {(r["dataset_id"], r["particle_id"]): (r["tracks"], r["n"]) for r in catalogue.QUERIES["compress_particles"](spark, SF).collect()}
     assert got == want
     assert sum(n for _, n in got.values()) == len(orders)
+
+
+def test_every_event_is_predicted(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert catalogue.QUERIES["predict_ci_all"](spark, SF).count() == events
+    assert catalogue.QUERIES["predict_ci_p2"](spark, SF).count() < events  # its SQL has the prefix
