@@ -310,11 +310,19 @@ def time_fourier_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     STREAMS_SQL + " select round(sum(case when dataset_id = 0 then dt else 0 end), 6) g00, round(sum(case when dataset_id = 1 then dt else 0 end), 6) g11, round(sum(case when dataset_id = 2 then dt else 0 end), 6) g22, 0.0::double g01 from l where dt is not null",
 )
 def dataset_indicator_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corner of datasets 0, 1 and 2; dataset_indicator_gram_all has every dataset."""
     b = bases.dataset_indicator(1, 3).columns()
     terms = {"g00": b[0] * b[0], "g11": b[1] * b[1], "g22": b[2] * b[2], "g01": b[0] * b[1]}
     return integrate(rows(spark, sf_dir), terms, dict.fromkeys(terms, ["X"])).select(*[rounded(k, F.col(k)) for k in terms])
 
 
+@register("dataset_indicator_gram_all", STREAMS_SQL + " select dataset_id, round(coalesce(sum(dt), 0), 6) g from l group by dataset_id")
+def dataset_indicator_gram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagonal of the one-hot basis' Gram matrix, of every dataset; no two indicators overlap, so all else is zero."""
+    g = integrate(rows(spark, sf_dir), {"g": F.lit(1.0)}, {"g": ["X"]}, by=["dataset_id"])
+    return g.select("dataset_id", rounded("g", F.col("g")))
+
+
 @register(
     "entropy_moments_p2",
     STREAMS_SQL + """,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from driftfield.plans import catalogue
+from driftfield.plans import catalogue, overdamped
 from driftfield.sources.tables import compress_particles
 from tests.conftest import SF
 
@@ -51,3 +51,13 @@ def test_every_event_is_predicted(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     assert catalogue.QUERIES["predict_ci_all"](spark, SF).count() == events
     assert catalogue.QUERIES["predict_ci_p2"](spark, SF).count() < events  # its SQL has the prefix
+
+
+def test_every_dataset_has_its_gram_entry(spark):
+    series = {}
+    for r in overdamped.events(spark, SF).select("dataset_id", "t").collect():
+        series.setdefault(r["dataset_id"], []).append(r["t"])
+    want = {k: max(t) - min(t) for k, t in series.items()}
+    got = {r["dataset_id"]: r["g"] for r in catalogue.QUERIES["dataset_indicator_gram_all"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 3
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
