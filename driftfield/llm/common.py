@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _tables: list[tuple[SparkSession, str]] = []
+#: Seconds between collections of garbage, and when the last one was.
+FREE_EVERY = 5.0
+_freed = [0.0]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,11 +30,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, is a folder of this machine taken and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder
+    of this machine is taken and set if Spark runs in one process, as in tests;
+    on a cluster, whose executors would not see it, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="driftfield-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -59,8 +68,10 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 def free(spark: SparkSession) -> None:
     """Let go of what finished steps hold on disk: Spark drops shuffle files once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _freed[0] >= FREE_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed[0] = time.monotonic()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -83,10 +94,11 @@ def drop_tables() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 256, megabytes: int = 4) -> None:
-    """Bound what an Arrow batch of whole texts holds, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each, so that what is made of one stays small. Spark bounds what it sends by bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def digest(text: str | Column) -> list[Column]:
@@ -94,6 +106,12 @@ def digest(text: str | Column) -> list[Column]:
     return [F.xxhash64(F.lit(11), text), F.xxhash64(F.lit(23), text)]
 
 
+def kept(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null like any other) and text are in ``heads`` (doc_id, d1, d2), a written table; all columns stay."""
+    d1, d2 = digest(docs["text"].cast("string"))
+    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["doc_id"]) & (d1 == heads["d1"]) & (d2 == heads["d2"]), "left_semi")
+
+
 def lower_ascii(word: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
