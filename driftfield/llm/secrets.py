@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftfield.llm.common import column, small_batches
+from driftfield.llm.common import column, sliced
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -20,10 +20,9 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Candidates for the entropy scan, and what is no secret however random it looks.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALLOWED = (
-    r"[A-Za-z]+",  # a word, or words run together
+    r"[A-Za-z_/=+-]+",  # words, identifiers, paths and rulers; one class, so that matching is linear
     r"[0-9]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"[A-Za-z]*([_/=+-]+[A-Za-z]*)+",  # identifiers, paths and rulers
     r"(.)\1*",
     r".*(EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH).*",
 )
@@ -122,14 +121,15 @@ def scan(docs: DataFrame, **scanner) -> DataFrame:
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (digest of the first
     three kinds' spans), spans (all, as kind:start:end by start, then kind). Null
-    and empty texts have none. A row per input row; null ids and repeated rows
-    pass through; an empty table gives no rows; other columns are not read.
+    and empty texts have none; a long text is read whole, in time that grows as
+    its length. Of kinds that match at one place each gives a span. A row per
+    input row; null ids and repeated rows pass through; an empty table gives no
+    rows; other columns are not read, whatever their names.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Scanner(**scanner)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [finder.scan(x.as_py()) for x in column(batch, "text")]
             count = lambda kind: pa.array([sum(k == kind for _, k, _ in base) for base, _ in rows], pa.int64())
             sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows]
@@ -145,3 +145,14 @@ def scan(docs: DataFrame, **scanner) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return scan(docs)
+
+
+_NAMES_SQL = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+#: The numbers of base spans.
+ORACLE = rf"""
+select doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '({_NAMES_SQL})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::bigint n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint n_hex
+from documents
+"""
