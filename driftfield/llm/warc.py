@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,10 @@ END = "\r\n"
 VERSION = "WARC/1.1"
 #: Up to this many digests (about 100 bytes each) of payloads that occur more than once are broadcast.
 BROADCAST_DIGESTS = 200_000
-#: Records in an archive file at most, so that a reader holds a bounded file.
-RECORDS = 1000
+#: Payloads up to so many bytes go to files of at most so many records, so that a reader holds a bounded file of about 64 MB; larger ones have their own.
+CLASSES = ((1 << 16, 1000), (1 << 22, 16))
+#: Bytes of payloads in a batch of records read back.
+BATCH = 4 << 20
 #: One date for all records: archives of the same pages are the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,14 +63,15 @@ def plan(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write a WARC record per page to ``path``, as gzip files of at most ``RECORDS`` records.
+    """Write a WARC record per page to ``path``, as gzip files of bounded size (``CLASSES``).
 
     Of records with equal payloads of at least ``min_bytes`` bytes, that of the
     largest page_id is a response and the others are revisits that refer to it;
     smaller payloads are all responses. Null html is an empty payload; a null
     page_id is the smallest, and without another every such page is a response;
     rows that repeat the largest page_id are all responses. A null url is left
-    out, and control characters in one are escaped.
+    out, and control characters in one are escaped. An empty table gives no
+    records; other columns are not read.
     """
     rows = plan(pages, min_bytes)
     response = F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper"))
@@ -88,7 +93,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         line("Content-Length", F.octet_length(body).cast("string")),
     )
     record = F.concat(head, F.lit(END), body).alias("value")
-    rows.select(record).write.option("lineSep", END * 2).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    low = -1
+    for high, records in (*CLASSES, (None, 1)):
+        if low < longest:
+            some = rows.where((F.col("n") > low) & (F.col("n") <= high)) if high else rows.where(F.col("n") > low)
+            writer = some.select(record).write.mode("append").option("lineSep", END * 2).option("compression", "gzip")
+            writer.option("maxRecordsPerFile", records).text(path)
+            low = high
 
 
 @dataclass
@@ -98,52 +110,72 @@ class Record:
     payload: bytes | None
 
 
-def parse(data: bytes) -> Iterator[Record]:
-    """The records of an archive file, read by their Content-Length."""
+def parse(archive: BinaryIO) -> Iterator[Record]:
+    """The records of an archive, one at a time, read by their Content-Length. Payload digests are verified."""
     at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at) + 4
-        lines = data[at:stop].decode().split(END)
-        if not re.fullmatch(r"WARC/1\.\d", lines[0]):
+    while first := archive.readline():
+        if not re.fullmatch(rb"WARC/1\.\d\r\n", first):
             raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:] if x)
-        end = stop + int(fields["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end at {end}")
-        http = data.index(b"\r\n\r\n", stop, end) + 4
+        head = [first]
+        fields = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"the head of the record at byte {at} does not end")
+            head.append(line)
+            name, _, value = line.decode().rstrip(END).partition(": ")
+            fields[name] = value
+        head.append(line)
+        left = int(fields["Content-Length"])
+        while left > 0:  # the HTTP head
+            line = archive.readline(left)
+            head.append(line)
+            left -= len(line)
+            if line in (b"\r\n", b""):
+                break
+        body = archive.read(left)
+        if len(body) != left or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} does not end where its length says")
         payload = None
         if fields["WARC-Type"] == "response":
-            payload = data[http:end]
+            payload = body
             sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             if fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or fields["X-Payload-SHA256"] != hashlib.sha256(payload).hexdigest():
                 raise ValueError(f"the payload of the record at byte {at} does not have its digest")
-        yield Record(data[at:http], fields, payload)
-        at = end + 4
+        exact = b"".join(head)
+        yield Record(exact, fields, payload)
+        at += len(exact) + len(body) + 4
 
 
 RECORD = "page_id long, record_type string, payload_digest string, sha256 string, head binary, payload binary"
 
 
 def read(spark, path: str) -> DataFrame:
-    """The records of the archives at ``path``; payload is null in a revisit. Digests are verified."""
+    """The records of the archives at ``path``; payload is null in a revisit. Digests are verified.
+
+    A file is inflated and parsed as a stream, a few records at a time. A record
+    without a page id has a null one. A folder without records gives no rows.
+    """
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
             for content in column(batch, "content"):
-                rows = []
-                for r in parse(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for r in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
                     page = r.fields.get("X-Page-Id")
                     digest = r.fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     rows.append((None if page is None else int(page), r.fields["WARC-Type"], digest, r.fields["X-Payload-SHA256"], r.head, r.payload))
-                    if len(rows) == 100:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
+                    held += len(r.head) + len(r.payload or b"")
+                    if held > BATCH:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch_of(rows)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, RECORD)
 
@@ -151,28 +183,35 @@ def read(spark, path: str) -> DataFrame:
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The content-addressed archive: (payloads, heads), written to the shared folder.
 
-    payloads: sha256, payload_digest, payload_bytes, page_id (of the response),
-    payload, each content once. heads: page_id, record_type, sha256, and the
-    record's exact bytes ahead of its payload.
+    payloads: sha256, page_id (of the response), payload_bytes, payload, each
+    content once; of several responses with one content, that of the largest page
+    id (null is the smallest). heads: page_id, record_type, payload_digest, sha256, and the record's
+    exact bytes ahead of its payload, a row per record. No records, no rows.
     """
     answers = records.where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    kept = answers.groupBy("sha256").agg(F.max(F.struct("page_id", "payload_digest", "payload_bytes", "payload")).alias("r"))
+    kept = answers.groupBy("sha256").agg(F.max(F.struct("page_id", "payload_bytes", "payload")).alias("r"))
     payloads = table(kept.select("sha256", "r.*"), "warc-payloads", compression="zstd")
-    return payloads, table(records.select("page_id", "record_type", "sha256", "head"), "warc-heads", compression="zstd")
+    return payloads, table(records.select("page_id", "record_type", "payload_digest", "sha256", "head"), "warc-heads", compression="zstd")
 
 
 def reconstruct(payloads: DataFrame, heads: DataFrame) -> DataFrame:
-    """All records with their full payload: page_id, record_type, head, payload, and the response's page for a revisit."""
-    kept = payloads.select("sha256", F.col("page_id").alias("response_id"), "payload_digest", "payload_bytes", "payload")
+    """All records with their full payload: page_id, record_type, head, payload, and the response's page for a revisit.
+
+    A row per head. A revisit whose response is not in the store keeps its head
+    and digest, with a null payload.
+    """
+    kept = payloads.select("sha256", F.col("page_id").alias("response_id"), "payload_bytes", "payload")
     refers = F.when(F.col("record_type") == "revisit", F.col("response_id")).alias("refers_to")
-    return heads.join(kept, "sha256").select("page_id", "record_type", "head", "payload", "payload_bytes", "payload_digest", refers)
+    return heads.join(kept, "sha256", "left").select("page_id", "record_type", "head", "payload", "payload_bytes", "payload_digest", refers)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write archives of ``pages``, read them into a content-addressed store, and join the records together again.
 
-    A row per input row. An empty table gives no rows. Columns other than
-    page_id, url and html are not read.
+    A row per input row. Null and empty html are empty payloads; a long one has
+    an archive of its own; of pages that tie for the largest page_id all are
+    responses, as are those without an id if no copy has one. An empty table gives
+    no rows. Columns other than page_id, url and html are not read.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
