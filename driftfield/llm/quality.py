@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, small_batches
+from driftfield.llm.common import column, digest, sliced
 
 #: Code points handled at once; longer texts are cut at white space where there is some.
 BLOCK = 1 << 18
@@ -141,9 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, bits: int = 17, **
     """Train on at most ``most`` labelled documents that are not held out, chosen by a hash of their id.
 
     That bound is the only sample in this operator. What reaches the driver are
-    those documents' feature weights, 8 bytes for each bucket that they use. A
-    document whose labels disagree takes the smaller one. Labels other than 0 and 1
-    and null ids are left out. Without any label, every score is 0.5.
+    those documents' feature weights, 8 bytes for each bucket that they use (at
+    most 1 MB each). A document whose labels disagree takes the smaller one; of
+    rows that share an id, that of the smallest digest of its text is learnt from.
+    Labels other than 0 and 1, null ids and ids without a document are left out.
+    Without any label, every score is 0.5. Other columns are not read.
     """
     chosen = (
         labels.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality")
@@ -151,16 +153,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, bits: int = 17, **
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bags = [bag(x.as_py(), bits) for x in column(batch, "text")]
             used, weights = (pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "quality"), used, weights], ["doc_id", "quality", "used", "weights"])
 
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
-    found = texts.mapInArrow(run, "doc_id long, quality int, used binary, weights binary").collect()  # at most ``most`` ids
+    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("text", F.struct(*digest("text"))).alias("text"))
+    found = texts.mapInArrow(run, "doc_id long, quality int, used binary, weights binary").collect()  # at most ``most`` rows
     found.sort(key=lambda r: (r["doc_id"], bytes(r["used"]), bytes(r["weights"])))
     rows = [(r["quality"], np.frombuffer(r["used"], np.uint32), np.frombuffer(r["weights"], np.float32)) for r in found]
     return train(rows, bits, **training)
@@ -174,12 +176,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     likelier) and predicted (1 from ``threshold`` on). Null and empty texts get
     the score of no features. A row per input row.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bits, model.slope))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = np.array([own.score(x.as_py()) for x in column(batch, "text")], np.float64)
             predicted = pa.array((scores >= threshold).astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores, pa.float64()), predicted], ["doc_id", "score", "predicted"])
@@ -189,15 +190,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
-    """``docs`` without those that the classifier rejects; all columns stay, whatever their names."""
+    """``docs`` without those that the classifier rejects; all columns stay, whatever their names.
+
+    A row is judged by its text: null and empty texts by the score of no
+    features, long ones as a whole, copies alike whatever their ids. A score at
+    the threshold stays. Without labels all score 0.5. An empty table gives no rows.
+    """
     model = fit(docs, labels, **fitting)
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bits, model.slope))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([own.score(x.as_py()) >= threshold for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
