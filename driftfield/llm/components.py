@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import table
+from driftfield.llm.common import drop, table
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         pairs = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = table(pairs.distinct(), "edges")
+        last, now = now, table(pairs.distinct(), "edges")
+        drop(last)
         before, state = state, settled(now)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, small_batches, table
+from driftfield.llm.common import column, digest, drop, kept, sliced, table
 from driftfield.llm.components import components
 
 SEED = 42
@@ -39,15 +40,22 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) per row, fp a signed long."""
-    small_batches(docs.sparkSession)
+    """(doc_id, d1, d2, fp) per row: digest of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(x.as_py(), shingle) for x in column(batch, "raw")], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            keys = [column(batch, k) for k in ("doc_id", "d1", "d2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found.view(np.int64), pa.int64())], ["doc_id", "d1", "d2", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "encode(cast(text as string), 'UTF-8') raw").mapInArrow(run, "doc_id long, fp long")
+    d1, d2 = digest("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", d1.alias("d1"), d2.alias("d2"), F.encode("text", "UTF-8").alias("raw"))
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, fp long")
+
+
+def signed(word: int) -> int:
+    return word - (1 << BITS) if word >> (BITS - 1) else word
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -59,61 +67,84 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     at most agree under that mask.
     """
     size = (1 << (radius + 1)) - 1
-    masks = []
-    for v in range(1, size + 1):
-        mask = sum(1 << i for i in range(bits) if ((i % size + 1) & v).bit_count() % 2)
-        masks.append(mask - (1 << bits) if mask >> (bits - 1) else mask)
-    return masks
+    return [signed(sum(1 << i for i in range(bits) if ((i % size + 1) & v).bit_count() % 2)) for v in range(1, size + 1)]
+
+
+def flips(mask: int, radius: int, bits: int = BITS) -> list[int]:
+    """0 and all words of up to half of ``radius`` (rounded up) bits outside ``mask``."""
+    free = [i for i in range(bits) if not mask >> i & 1]
+    return [signed(sum(1 << i for i in chosen)) for k in range((radius + 1) // 2 + 1) for chosen in combinations(free, k)]
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between fingerprints that connect all pairs within ``radius`` (1 or 2) bits.
-
-    Tables of the covering masks show which fingerprints have company in some
-    bucket. In place of a bucket's pairs, each of those emits itself and its 64
-    neighbours at one bit: two fingerprints are within two bits if and only if
-    they emit a common word, so each group of a word (65 members at most) is
-    linked to its smallest member. No pair is lost and none is listed twice per
-    group, however many fingerprints share a bucket.
+    """Edges (u, v) between fingerprints that connect all pairs within ``radius`` (1 to 4) bits.
+
+    Fingerprints meet in the tables of the covering masks: one for each mask,
+    keyed by the bits that it holds. Those within the radius share a bucket of
+    some table, where they differ in the bits outside its mask only. In place of
+    a bucket's pairs, each member emits the words of its bucket that differ from
+    it in up to half of the radius. Two members are within the radius if and only
+    if some word is as near to both, and half a bit nearer to one if the radius is
+    odd. So all that emitted a word are linked to the smallest of the near ones:
+    no pair is lost, and what a member emits does not depend on how many share
+    its bucket.
     """
-    if radius not in (1, 2):
-        raise ValueError("radius is 1 or 2")
-    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(covering_masks(radius))])
+    if radius not in (1, 2, 3, 4):
+        raise ValueError("radius is 1 to 4")
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     hashed = distinct.select("fp", F.inline(tables))
     shared = hashed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("t", "key")
-    candidates = hashed.join(shared, ["t", "key"], "left_semi").select("fp").distinct()
-    flips = [F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(BITS)]
-    words = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(f) for f in flips])
-    met = candidates.select("fp", F.explode(words).alias("word"))
-    met = met.withColumn("lo", F.min("fp").over(Window.partitionBy("word")))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= radius
-    return met.where((F.col("fp") != F.col("lo")) & near).select(F.col("fp").alias("u"), F.col("lo").alias("v")).distinct()
+    # A row per fingerprint with its shared buckets, so that a crowded bucket's members are dealt by fingerprint.
+    members = hashed.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.collect_list("t").alias("ts"))
 
+    def words(k: int, mask: int) -> Column:
+        near = F.lit(flips(mask, radius)).cast("array<bigint>")
+        all_ = F.transform(near, lambda x: F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseXOR(x).alias("word")))
+        return F.when(F.array_contains("ts", k), all_).otherwise(F.array().cast("array<struct<t:int,word:bigint>>"))
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """Fingerprint whole texts and find the components of those within ``radius`` bits.
+    emitted = [words(k, m) for k, m in enumerate(masks)]
+    met = members.select("fp", F.inline(F.flatten(F.array(*emitted))))
+    near = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("word"))) <= radius // 2, F.col("fp"))
+    met = met.withColumn("lo", F.min(near).over(Window.partitionBy("t", "word")))
+    return met.where("lo is not null and fp != lo").select(F.col("fp").alias("u"), F.col("lo").alias("v")).distinct()
 
-    Copies meet in one fingerprint before any linking. Returns doc_id, fp,
-    component_id (the smallest doc_id reachable): a row per input row. Null and
-    empty texts have fingerprint 0 and link like any other; null ids are never
-    the smallest (a component of null ids only has a null component_id); repeated
-    rows are copies. An empty table gives no rows. Other columns are not read.
-    """
+
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """doc_id, d1, d2, fp, root (a fingerprint of the component) and component_id per row."""
     rows = table(fingerprints(docs, shingle), "fingerprints")
     distinct = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-distinct")
     found = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     member = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(member.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    member = table(member.select("fp", "root").join(heads, "root"), "fingerprints-heads")
+    drop(distinct)
+    return rows.join(member, "fp")
+
+
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """Fingerprint whole texts and find the components of those within ``radius`` bits.
+
+    Copies meet in one fingerprint before any linking. Returns doc_id, fp,
+    component_id (the smallest doc_id reachable): a row per input row. Null and
+    empty texts have fingerprint 0 and link like any other; a long text is read
+    whole; null ids are never the smallest (a component of null ids only has a
+    null component_id); repeated rows are copies. An empty table gives no rows.
+    Other columns are not read, whatever their names.
+    """
+    return _grouped(docs, shingle, radius).select("doc_id", "fp", "component_id")
 
 
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns stay.
+def clean(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each component; all columns stay, whatever their names.
 
-    Rows that repeat a doc_id are one document, as are those without one.
+    That is the one of the smallest id, null last, then the smallest digest of
+    its text. Rows that repeat both are one document and stay together. Empty and
+    null texts are one component. An empty table gives no rows.
     """
-    heads = groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col("_head")), "left_semi")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "d1", "d2")
+    heads = _grouped(docs, shingle, radius).groupBy("root").agg(F.min(order).alias("head")).select("head.doc_id", "head.d1", "head.d2")
+    return kept(docs, table(heads, "component-heads"))
 
 
 def query(docs: DataFrame) -> DataFrame:
