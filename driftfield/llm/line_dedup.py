@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import digest, table
+from driftfield.llm.common import digest, drop, table
 
-#: Up to this many candidate lines (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
+#: Up to this many candidate lines (16 bytes of digest each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_LINES = 500_000
-#: Lines of fewer characters are held equal only if they are the same.
-MIN_FUZZY = 20
 
 #: Where a line stands: ids in order, null last; documents that share an id by digest; then the line's number.
 PLACE = ("no_id", "doc_id", "d1", "d2", "line_no")
@@ -60,7 +58,7 @@ def _blocks() -> Column:
     n = F.length("line")
 
     def cut(longer: Column, role: str) -> Column:
-        size = F.greatest(F.lit(16), F.ceil(F.sqrt(longer))).cast("int")
+        size = F.greatest(F.lit(4), F.ceil(F.sqrt(longer))).cast("int")
 
         def block(j: Column) -> Column:
             head, behind = j * size, F.greatest(F.lit(0), longer - (j + 1) * size)
@@ -76,40 +74,85 @@ def _blocks() -> Column:
 def _neighbourhood() -> Column:
     """The keys of a block's deletion neighbourhood, within equal surroundings.
 
-    ``whole``: a shorter line's block, met by a longer line's with one character deleted.
-    ``gone``: a block with one character deleted, met by the whole block equal to it.
-    ``swap``: the same with the place of the deletion, met by a block that has another character there.
+    Side ``x`` is a shorter line's block, side ``y`` a longer one's with a character
+    deleted; ``both`` is a block with a character deleted, and the place of that,
+    met by a block that has another character there.
     """
     around = [F.col("b1"), F.col("b2")]
     without = lambda i: F.concat(F.substring("middle", F.lit(1), i), F.substring("middle", i + 2, F.length("middle")))
-    key = lambda kind, pair: F.struct(F.lit(kind).alias("kind"), pair[0].alias("k1"), pair[1].alias("k2"))
+    key = lambda side, pair: F.struct(F.lit(side).alias("side"), pair[0].alias("k1"), pair[1].alias("k2"))
     places = F.sequence(F.lit(0), F.length("middle") - 1)
-    gone = F.transform(places, lambda i: key("gone", _pair("one", *around, without(i))))
-    swap = F.transform(places, lambda i: key("swap", _pair("swap", *around, i, without(i))))
-    return F.when(F.col("role") == "short", F.array(key("whole", _pair("one", *around, F.col("middle"))))).otherwise(F.concat(gone, swap))
+    gone = F.transform(places, lambda i: key("y", _pair("one", *around, without(i))))
+    swap = F.transform(places, lambda i: key("both", _pair("swap", *around, i, without(i))))
+    return F.when(F.col("role") == "short", F.array(key("x", _pair("one", *around, F.col("middle"))))).otherwise(F.concat(gone, swap))
+
+
+def _thirds() -> Column:
+    """Keys of which two lines within two edits share at least one.
+
+    Of three parts of the longer one no edit touches some: the first, which then
+    begins the other as well, the last, which ends it, or the middle, which then
+    stands in it at most one place off. L is a line's length, or up to two more.
+    """
+    n, keys = F.length("line"), []
+    for longer in (n, n + 1, n + 2):
+        a, b = F.floor(longer / 3).cast("int"), F.floor(longer * 2 / 3).cast("int")
+        keys.append(F.xxhash64(F.lit("head"), longer, F.substring("line", F.lit(1), a)))
+        keys.append(F.xxhash64(F.lit("tail"), longer, F.right("line", longer - b)))
+        keys += [F.xxhash64(F.lit("middle"), longer, F.substring("line", F.greatest(F.lit(1), a + 1 + k), b - a)) for k in (-1, 0, 1)]
+    return F.array_distinct(F.array(*keys))
+
+
+def _neighbourhood_of_two() -> Column:
+    """The keys of a line's deletion neighbourhood within two edits, each with the side (``x``, ``y`` or both) that it meets the other from.
+
+    An insertion deletes from the longer line only, a substitution from both, at
+    one place of what is left. So lines meet whole (one or two deletions of the
+    longer), with a deletion each, with a substitution's place and a deletion of
+    the longer, or with two substitutions' places.
+    """
+    n = F.length("line")
+    drop_ = lambda text, i: F.concat(F.substring(text, F.lit(1), i), F.substring(text, i + 2, F.length(text)))
+    key = lambda side, kind, *x: F.struct(F.lit(side).alias("side"), *[c.alias(f"k{k + 1}") for k, c in enumerate(_pair(kind, *x))])
+    each = F.sequence(F.lit(0), n - 1)
+    line = F.col("line")
+    whole = F.array(key("x", "one", line), key("x", "two", line))
+    ones = F.flatten(F.transform(each, lambda i: F.array(key("y", "one", drop_(line, i)), key("both", "each", drop_(line, i)), key("x", "moved", i, drop_(line, i)))))
+
+    def second(i: Column) -> Column:
+        left = drop_(line, i)
+
+        def twice(j: Column) -> Column:  # j counts in what the first deletion left, from its place on
+            rest = drop_(left, j)
+            return F.array(key("y", "two", rest), key("y", "moved", i, rest), key("y", "moved", j, rest), key("both", "places", i, j, rest))
+
+        return F.flatten(F.transform(F.sequence(i, n - 2), twice))
+
+    twos = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), second))).otherwise(F.slice(ones, F.lit(1), F.lit(0)))
+    return F.concat(whole, ones, twos)
 
 
 def _near(firsts: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
-    """(h1, h2) of the lines that are within one edit of an earlier line."""
-    if max_edits != 1:
-        raise ValueError("max_edits is 0 or 1")
-    # Screen: only lines that share a half with another line can have a neighbour.
-    keys = firsts.where(F.col("halves").isNotNull()).select("h1", "h2", F.explode("halves").alias("k"))
+    """(h1, h2) of the lines that are within ``max_edits`` edits of an earlier line."""
+    # Screen: only lines that share a part with another line can have a neighbour.
+    keys = firsts.where(F.col("parts").isNotNull()).select("h1", "h2", F.explode("parts").alias("k"))
     shared = keys.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a != b").select("k")
     screened = table(keys.join(shared, "k", "left_semi").select("h1", "h2").distinct(), "line-candidates")
     few = screened.count() <= BROADCAST_LINES
     texts = _lines(docs).join(F.broadcast(screened) if few else screened, ["h1", "h2"], "left_semi")
     texts = texts.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("line").alias("line"))
     texts = table(texts, "line-texts")
-    # Strike out blocks; only lines that then agree with another go on, with that block.
-    struck = texts.select(F.struct("place", "h1", "h2").alias("me"), F.inline(_blocks()))
-    agree = struck.groupBy("b1", "b2").agg(F.min("me").alias("a"), F.max("me").alias("b")).where("a != b").select("b1", "b2")
-    struck = struck.join(agree, ["b1", "b2"], "left_semi")
-    # Neighbourhood: in a group of equal keys every line is one edit from the others of the other role.
-    emitted = struck.select("me", F.inline(_neighbourhood()))
+    if max_edits == 1:
+        # Strike out blocks; only lines that then agree with another go on, with that block.
+        struck = texts.select(F.struct("place", "h1", "h2").alias("me"), F.inline(_blocks()))
+        agree = struck.groupBy("b1", "b2").agg(F.min("me").alias("a"), F.max("me").alias("b")).where("a != b").select("b1", "b2")
+        emitted = struck.join(agree, ["b1", "b2"], "left_semi").select("me", F.inline(_neighbourhood()))
+    else:
+        emitted = texts.select(F.struct("place", "h1", "h2").alias("me"), F.inline(_neighbourhood_of_two()))
+    # In a group of equal keys every line is within the bound of those of the other side, or of all.
     same = Window.partitionBy("k1", "k2")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me"))).over(same)
-    other = F.when(F.col("kind") == "gone", least("whole")).when(F.col("kind") == "whole", least("gone")).otherwise(least("swap"))
+    least = lambda side: F.min(F.when(F.col("side") == side, F.col("me"))).over(same)
+    other = F.when(F.col("side") == "x", least("y")).when(F.col("side") == "y", least("x")).otherwise(least("both"))
     met = emitted.select("me", other.alias("other"))
     pairs = met.where(F.col("other") < F.col("me")).distinct()
     # Verify: fetch both lines and count the edits.
@@ -119,17 +162,20 @@ def _near(firsts: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
     pairs = pairs.join(mine, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")))
     pairs = pairs.join(theirs, (F.col("o1") == F.col("b1")) & (F.col("o2") == F.col("b2")))
     edits = F.levenshtein("a", "b", max_edits)
-    return pairs.where((edits >= 0) & (edits <= max_edits)).select("h1", "h2").distinct()
+    found = table(pairs.where((edits >= 0) & (edits <= max_edits)).select("h1", "h2").distinct(), "line-near")
+    drop(screened)
+    drop(texts)
+    return found
 
 
-def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = 0) -> DataFrame:
     """Keep, of lines within ``max_edits`` edits of each other, the earliest.
 
     Lines are parted by newline. In the order of doc_id, then line number, a line
-    goes if an equal line stands earlier, or, from ``min_fuzzy`` characters on,
-    an earlier line is within ``max_edits`` insertions, deletions or
-    substitutions of it (judged on the input, not on what is left). Blank lines
-    stay. Equal lines are joined by digest first. A screen on halves of lines
+    goes if an earlier line is within ``max_edits`` insertions, deletions or
+    substitutions of it (judged on the input, not on what is left); lines of fewer
+    than ``min_fuzzy`` characters go only if an equal one stands earlier. Blank
+    lines stay. Equal lines are joined by digest first. A screen on halves of lines
     finds all that can have a neighbour, and one on blocks finds where its edit
     can be. Those blocks emit their deletion neighbourhood as hashed keys, groups
     of equal keys name the earliest line, and the edit distance of those pairs is
@@ -138,14 +184,17 @@ def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = MIN_FUZZY) -> Da
     Returns doc_id, d1, d2 (digest of the input text), n_lines, n_removed, kept
     (the text that is left); a row per distinct doc_id and text, since rows that
     repeat both are one document. Null text is null, with no lines; a null doc_id
-    comes last in order; documents that share an id are ordered by digest. An
-    empty table gives no rows. Other columns are not read.
+    comes last in order; documents that share an id are ordered by digest. A long
+    text is one row per line on the way, and whole again at the end. An empty
+    table gives no rows. Other columns are not read, whatever their names.
     """
     rows = _documents(docs)
     lines = _lines(rows)
-    fuzzy = (F.length("line") >= min_fuzzy) if max_edits else F.lit(False)
-    lines = lines.withColumn("halves", F.when(fuzzy, _halves()))
-    firsts = table(lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("halves").alias("halves")), "line-firsts")
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits is 0, 1 or 2")
+    parts = {0: F.lit(None).cast("array<bigint>"), 1: _halves(), 2: _thirds()}[max_edits]
+    lines = lines.withColumn("parts", F.when(F.length("line") >= min_fuzzy, parts))
+    firsts = table(lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("parts").alias("parts")), "line-firsts")
     kept = firsts
     if max_edits:
         kept = firsts.join(_near(firsts, rows, max_edits), ["h1", "h2"], "left_anti")
@@ -153,6 +202,8 @@ def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = MIN_FUZZY) -> Da
     blank = rows.select("no_id", "doc_id", "d1", "d2", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     blank = blank.where(F.length(F.trim("line")) == 0).select(*PLACE)
     stays = kept.unionByName(blank).groupBy("no_id", "doc_id", "d1", "d2").agg(F.array_sort(F.collect_set("line_no")).alias("stays"))
+    stays = table(stays, "line-stays")
+    drop(firsts)
     found = rows.dropDuplicates(["no_id", "doc_id", "d1", "d2"]).join(stays, ["no_id", "doc_id", "d1", "d2"], "left")
     found = found.withColumn("parts", F.split("text", "\n", -1)).withColumn("stays", F.coalesce("stays", F.array().cast("array<int>")))
     n_lines = F.coalesce(F.size("parts"), F.lit(0)).cast("long")
@@ -165,11 +216,16 @@ def dedup(docs: DataFrame, max_edits: int = 1, min_fuzzy: int = MIN_FUZZY) -> Da
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the lines that :func:`dedup` removes taken out of ``text``; other columns stay, ``n_chars`` is counted anew."""
-    found = dedup(docs, **options).select(F.col("doc_id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("kept").alias("_kept"))
+    """``docs`` with the lines that :func:`dedup` removes taken out of ``text``; ``n_chars``, if there is one, is counted anew.
+
+    Other columns stay, whatever their names. A row per input row: null texts
+    stay null, rows that repeat a document all get what is left of it, and a null
+    doc_id is an id like any other. An empty table gives no rows.
+    """
+    found = dedup(docs, **options).select("doc_id", "d1", "d2", "kept")
     d1, d2 = digest(docs["text"].cast("string"))
-    rows = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (d1 == F.col("_d1")) & (d2 == F.col("_d2")))
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    rows = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (d1 == found["d1"]) & (d2 == found["d2"]))
+    new = {"text": found["kept"], "n_chars": F.length(found["kept"]).cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
@@ -184,7 +240,7 @@ l as (
 f as (select line, min((doc_id, no)) place, length(line) n from l where length(trim(line, ' ')) > 0 group by line),
 k as (
   select line, n, place, unnest([x || '<' || left(line, (x // 2)::bigint), x || '>' || right(line, (x - x // 2)::bigint)]) key
-  from (select line, n, place, unnest([n, n + 1]) x from f where n >= 20)),
+  from (select line, n, place, unnest([n, n + 1]) x from f)),
 p as (
   select distinct a.line a, a.n m, b.line b, b.n n from k a join k b using (key)
   where a.place > b.place and a.line <> b.line and abs(a.n - b.n) <= 1),
