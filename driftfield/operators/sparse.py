@@ -96,34 +96,65 @@ def greedy(score: Scorer, direction: str = "forward") -> None:
             s = max((s - {i} for i in s), key=lambda x: (score(x), [-i for i in sorted(x)]))
 
 
-def stlsq(score: Scorer, thresholds: Sequence[float] | None = None) -> None:
-    """Sequential thresholding: solve, drop coefficients below a share of the largest, repeat; for a sweep of shares."""
-    for share in np.logspace(-3, -0.05, 30) if thresholds is None else thresholds:
-        s = list(range(score.n))
-        while s:
-            score(s)
-            c = np.abs(score.solve(s) * np.sqrt(np.abs(np.diag(score.g)[s])))
-            kept = [i for i, v in zip(s, c, strict=True) if v >= share * c.max()]
-            if kept == s:
+#: Sweeps of thresholds (shares of the largest coefficient, from its 1e-4 to its 0.9 if absolute) and of penalties, and the bounds of their loops.
+SHARES = (-3, -0.05, 30)
+ABSOLUTE = (1e-4, 0.9, 30)
+PENALTIES = (1.0, 1e-4, 50)
+STLSQ_ROUNDS, LASSO_ROUNDS, LASSO_TOLERANCE = 50, 1000, 1e-7
+
+
+def stlsq(score: Scorer, thresholds: Sequence[float] | None = None, mode: str = "relative", scaled: bool = False) -> None:
+    """Sequential thresholding: solve, drop small coefficients, repeat; for a sweep of thresholds.
+
+    ``relative`` thresholds are shares of the largest coefficient, ``absolute``
+    ones values. Coefficients are compared as they are; ``scaled`` compares them
+    in units of their feature's size, so that units don't matter.
+    """
+    if mode not in ("relative", "absolute"):
+        raise ValueError(f"thresholds are relative or absolute, not {mode}")
+    size = np.sqrt(np.abs(np.diag(score.g))) if scaled else np.ones(score.n)
+    everything = list(range(score.n))
+    score(everything)
+    if thresholds is None and mode == "relative":
+        thresholds = np.logspace(*SHARES)
+    elif thresholds is None:
+        top = np.abs(score.solve(everything) * size).max(initial=0.0)
+        thresholds = np.geomspace(ABSOLUTE[0] * top, ABSOLUTE[1] * top, ABSOLUTE[2]) if top else [0.0]
+    for threshold in thresholds:
+        s = everything
+        for _ in range(STLSQ_ROUNDS):
+            c = np.abs(score.solve(s) * size[s])
+            kept = [i for i, v in zip(s, c, strict=True) if v >= threshold * (c.max() if mode == "relative" else 1.0)]
+            if kept == s or not kept:
                 break
             s = kept
+        score(kept)
+
 
+def lasso(score: Scorer, penalties: Sequence[float] | None = None, scaled: bool = False) -> None:
+    """Coordinate descent on the normal equations along a path of penalties; supports are then solved without the penalty.
 
-def lasso(score: Scorer, steps: int = 50, rounds: int = 500) -> None:
-    """Coordinate descent on the scaled normal equations along a path of penalties; supports are then solved without the penalty."""
-    scale = 1 / np.sqrt(np.maximum(np.diag(score.g), 1e-300))
-    g, m = score.g * np.outer(scale, scale), score.m * scale
+    The path starts where the first feature enters. ``scaled`` gives all features
+    the same size first, so that units don't matter.
+    """
+    size = np.sqrt(np.maximum(np.diag(score.g), 1e-300)) if scaled else np.ones(score.n)
+    g, m = score.g / np.outer(size, size), score.m / size
+    score(range(score.n))
+    top = np.abs(m).max(initial=0.0)
+    if penalties is None:
+        penalties = np.geomspace(PENALTIES[0] * top, PENALTIES[1] * top, PENALTIES[2]) if top else []
     c = np.zeros(score.n)
-    top = np.abs(m).max(initial=1e-300)
-    for penalty in top * np.logspace(0, -4, steps):
-        for _ in range(rounds):
-            before = c.copy()
+    for penalty in penalties:
+        for _ in range(LASSO_ROUNDS):
+            moved = 0.0
             for i in range(score.n):
-                r = m[i] - g[i] @ c + g[i, i] * c[i]
-                c[i] = math.copysign(max(abs(r) - penalty, 0), r) / g[i, i]
-            if np.abs(c - before).max() <= 1e-10 * max(1e-300, np.abs(c).max()):
+                old, own = c[i], g[i, i]
+                left = m[i] - g[i] @ c + own * old
+                c[i] = math.copysign(max(abs(left) - penalty, 0.0), left) / own if own >= 1e-30 else 0.0
+                moved = max(moved, abs(c[i] - old))
+            if moved < LASSO_TOLERANCE:
                 break
-        score(np.flatnonzero(c))
+        score(np.flatnonzero(np.abs(c) > 1e-14))
 
 
 def hillclimb(score: Scorer, seed: int = 0, patience: int = 200) -> None:
