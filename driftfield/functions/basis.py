@@ -158,6 +158,10 @@ class Basis:
     def bind(self, **values: Expr | Number) -> Basis:
         return self._like(np.vectorize(lambda e: as_expr(e).bind(values), otypes=[object])(self.values), self.labels)
 
+    def specialize(self, dataset: int) -> Basis:
+        """The features in one dataset: its number is put in, and choices by it are settled."""
+        return self.bind(dataset_id=float(dataset))
+
     def combine(self, coefficients: Sequence[float]) -> np.ndarray:
         """The field of the coefficients: one expression per component."""
         return self.dense(np.asarray([coefficients])).values[0]
@@ -291,9 +295,23 @@ def time_fourier(dim: int, n: int, period: float | None = None) -> Basis:
     return Basis(values, dim, ["1", *[f"{f}{k}" for k in range(1, n + 1) for f in ("cos", "sin")]])
 
 
+def in_dataset(k: int) -> Expr:
+    return Where(0.25 - (Var("dataset_id") - float(k)) ** 2, Const(1.0), Const(0.0))
+
+
 def dataset_indicator(dim: int, n: int) -> Basis:
     """One feature per dataset: 1 in it, else 0."""
-    return Basis([Where(0.25 - (Var("dataset_id") - float(k)) ** 2, Const(1.0), Const(0.0)) for k in range(n)], dim, [f"ds{k}" for k in range(n)])
+    return Basis([in_dataset(k) for k in range(n)], dim, [f"ds{k}" for k in range(n)])
+
+
+def per_dataset_scalar(dim: int, name: str, n: int) -> Basis:
+    """One feature that is a parameter of each dataset: ``name``0, ``name``1 and so on, to be bound or fitted."""
+    return Basis([sum((in_dataset(k) * Var(f"{name}{k}") for k in range(n)), Const(0.0))], dim, [name])
+
+
+def d_theta(field: Sequence[Expr], names: Sequence[str]) -> Basis:
+    """Derivatives of a vector field in its parameters, a vector feature each."""
+    return Basis([[as_expr(e).diff(n) for e in field] for n in names], len(field), [f"d_{n}" for n in names])
 
 
 def from_function(dim: int, function: Callable[..., Sequence], with_v: bool = False, labels: Sequence[str] | None = None) -> Basis:

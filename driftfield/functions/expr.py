@@ -237,7 +237,10 @@ class Where(Expr):
         return self.test.variables() | self.a.variables() | self.b.variables()
 
     def bind(self, values):
-        return Where(self.test.bind(values), self.a.bind(values), self.b.bind(values))
+        test, a, b = (x.bind(values) for x in (self.test, self.a, self.b))
+        if isinstance(test, Const):
+            return a if test.value > 0 else b
+        return Where(test, a, b)
 
     def __str__(self):
         return f"where({self.test} > 0, {self.a}, {self.b})"
@@ -247,6 +250,12 @@ def as_expr(x: Expr | Number) -> Expr:
     return x if isinstance(x, Expr) else Const(float(x))
 
 
+def is_zero(x: Expr | Number) -> bool:
+    """Whether an expression is the constant 0."""
+    x = as_expr(x)
+    return isinstance(x, Const) and x.value == 0
+
+
 def add(a: Expr, b: Expr) -> Expr:
     if isinstance(a, Const) and isinstance(b, Const):
         return Const(a.value + b.value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,12 +30,28 @@ def downsample(df: DataFrame, every: int, blur: int = 0, extras: Sequence[str] =
     return rows.select(*df.columns)
 
 
+def standard_normal(seed: int, *keys: str | Column) -> Column:
+    """A standard normal number for each key, by Box and Muller from a digest: reruns and partitions don't change it."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+    u = [(F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48) for at in (1, 13)]
+    return F.sqrt(-2.0 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+#: The same in DuckDB SQL, of the text that the digest is taken of.
+def normal_sql(text: str) -> str:
+    u = [f"(('0x' || substr(md5({text}), {at}, 12))::bigint + 0.5::double) / 281474976710656.0::double" for at in (1, 13)]
+    return f"(sqrt(-2.0::double * ln({u[0]})) * cos(6.283185307179586::double * {u[1]}))"
+
+
 def add_noise(df: DataFrame, noise: float | Sequence[float] | np.ndarray, seed: int = 0) -> DataFrame:
-    """Gaussian localisation noise: one sigma, one per axis, or a matrix that multiplies standard normals from the right."""
+    """Gaussian localisation noise: one sigma, one per axis, or a matrix that multiplies standard normals from the right.
+
+    The numbers follow from seed, axis and the row's keys, so reruns agree.
+    """
     cols = state_columns(df)
     m = np.asarray(noise, float)
     m = np.eye(len(cols)) * m if m.ndim < 2 else m
-    eps = df.withColumns({f"e{i}_": F.randn(seed + i) for i in range(len(cols))})
+    eps = df.withColumns({f"e{i}_": standard_normal(seed, F.lit(str(i)), "dataset_id", "particle_id", "time_idx") for i in range(len(cols))})
     moved = {c: F.col(c) + sum((F.col(f"e{j}_") * float(m[j, i]) for j in range(len(cols)) if m[j, i]), F.lit(0.0)) for i, c in enumerate(cols)}
     return eps.withColumns(moved).select(*df.columns)
 
@@ -50,18 +67,18 @@ def roi(df: DataFrame, radius: float | None = None, box: Sequence[Sequence[float
     return df if predicate is None else df.where(predicate)
 
 
-def data_loss(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Lose exactly n - round(n * (1 - fraction)) of each dataset's rows, chosen by a hash of row and seed, so reruns agree.
+def data_loss(df: DataFrame, fraction: float, seed: int = 0, keys: Sequence[str] = ("particle_id", "time_idx")) -> DataFrame:
+    """Lose exactly n - round(n * (1 - fraction)) of each dataset's rows, chosen by a digest of seed and row, so reruns agree.
 
-    The cut hash is found by counts in 4096 buckets, so a large dataset is not sorted in one task.
+    The cut digest is found by counts in 4096 buckets, so a large dataset is not sorted in one task.
     """
-    h = F.xxhash64(F.lit(seed), "dataset_id", "particle_id", "time_idx")
-    rows = df.withColumn("h_", h).withColumn("b_", F.shiftrightunsigned("h_", 52))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "dataset_id", *keys))
+    rows = df.withColumn("h_", h).withColumn("b_", F.substring("h_", 1, 3))
     counts = rows.groupBy("dataset_id", "b_").agg(F.count("*").alias("k_"))
     ahead = Window.partitionBy("dataset_id").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("dataset_id")
     counts = counts.select("dataset_id", "b_", F.coalesce(F.sum("k_").over(ahead), F.lit(0)).alias("ahead_"), F.rint(F.sum("k_").over(everything) * (1 - fraction)).alias("keep_"))
-    place = F.col("ahead_") + F.row_number().over(Window.partitionBy("dataset_id", "b_").orderBy("h_", "particle_id", "time_idx"))
+    place = F.col("ahead_") + F.row_number().over(Window.partitionBy("dataset_id", "b_").orderBy("h_", *keys))
     return rows.join(counts, ["dataset_id", "b_"]).withColumn("place_", place).where("place_ <= keep_").select(*df.columns)
 
 

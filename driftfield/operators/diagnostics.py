@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftfield.functions.numerics import chi2_sf, gauss_newton, ks_pvalue
+from driftfield.functions.numerics import chi2_sf, gauss_newton, ks_pvalue, scaled_pinv
 from driftfield.operators import estimators as est
 from driftfield.operators.streams import difference, mask, with_streams
 
@@ -42,57 +42,67 @@ def od_residuals(df: DataFrame, force: Sequence[Column], diffusion: np.ndarray,
     dim = len(force)
     rows = with_streams(df, (-1, 1), [f"x{i}" for i in range(dim)]).where(mask(["dX"]))
     rows = rows.select("dataset_id", "particle_id", "time_idx", est.step().alias("dt"), *[(difference(f"x{i}", 0) - force[i] * est.step()).alias(f"r{i}") for i in range(dim)])
-    a = 2 * np.asarray(diffusion, float)
-    if noise is None or not np.any(noise):
-        return _whiten(rows, a, dim)
-    mean_dt = rows.agg(F.avg("dt")).first()[0]
-    if mean_dt is None or np.trace(2 * noise) < SMALL_NOISE * np.trace(a) * mean_dt:
-        return _whiten(rows, a, dim)
-    return innovations(rows, a, np.asarray(noise, float), dim)
+    return _whitened(rows, 2 * np.asarray(diffusion, float), noise, dim, F.col("dt"), F.lit(2.0), F.lit(-1.0), 1)
 
 
-def _whiten(rows: DataFrame, a: np.ndarray, dim: int) -> DataFrame:
+def _whitened(rows: DataFrame, a: np.ndarray, noise: np.ndarray | None, dim: int, thermal: Column, own: Column, shared: Column, stride: int) -> DataFrame:
+    """z0.. of residuals r0.. whose covariance is thermal A + own L, with shared L between rows ``stride`` frames apart.
+
+    Where own L is small beside thermal A in the mean, it is left out.
+    """
+    if noise is not None and np.any(noise):
+        noise = np.asarray(noise, float)
+        mean = rows.agg(F.avg(thermal), F.avg(own)).first()
+        if mean[0] is not None and np.trace(noise) * mean[1] >= SMALL_NOISE * np.trace(a) * mean[0]:
+            return innovations(rows, a, noise, dim, thermal, own, shared, stride)
     w = np.linalg.inv(np.linalg.cholesky(a))
-    out = {f"z{i}": sum((F.col(f"r{j}") * float(w[i, j]) for j in range(i + 1)), F.lit(0.0)) / F.sqrt("dt") for i in range(dim)}
-    return rows.withColumns(out)
+    return rows.withColumns({f"z{i}": sum((F.col(f"r{j}") * float(w[i, j]) for j in range(i + 1)), F.lit(0.0)) / F.sqrt(thermal) for i in range(dim)})
 
 
-def innovations(rows: DataFrame, a: np.ndarray, noise: np.ndarray, dim: int) -> DataFrame:
-    """Sequential whitening of residuals whose neighbours share -L: S_k = C_k - L S_{k-1}^-1 L, e_k = r_k + L S_{k-1}^-1 e_{k-1}."""
+def innovations(rows: DataFrame, a: np.ndarray, noise: np.ndarray, dim: int, thermal: Column, own: Column, shared: Column, stride: int = 1) -> DataFrame:
+    """Sequential whitening of residuals whose neighbours share O = shared L: S_k = C_k - O S_{k-1}^-1 O, e_k = r_k - O S_{k-1}^-1 e_{k-1}."""
     schema = rows.schema.simpleString()[7:-1] + "".join(f",z{i}:double" for i in range(dim))
 
     def run(pdf):
         pdf = pdf.sort_values("time_idx")
-        r, dt, k = pdf[[f"r{i}" for i in range(dim)]].to_numpy(), pdf["dt"].to_numpy(), pdf["time_idx"].to_numpy()
+        r, k = pdf[[f"r{i}" for i in range(dim)]].to_numpy(), pdf["time_idx"].to_numpy()
+        c = pdf["thermal_"].to_numpy()[:, None, None] * a + pdf["own_"].to_numpy()[:, None, None] * noise
+        off = pdf["shared_"].to_numpy()[:, None, None] * noise
         z = np.empty_like(r)
         s = e = None
         for t in range(len(r)):
-            c = dt[t] * a + 2 * noise
-            if t and k[t] == k[t - 1] + 1:
-                gain = noise @ np.linalg.inv(s)
-                s, e = c - gain @ noise, r[t] + gain @ e
+            if t and k[t] == k[t - 1] + stride:
+                gain = off[t] @ np.linalg.inv(s)
+                s, e = c[t] - gain @ off[t], r[t] - gain @ e
             else:
-                s, e = c, r[t]
+                s, e = c[t], r[t]
             z[t] = np.linalg.solve(np.linalg.cholesky(s), e)
         for i in range(dim):
             pdf[f"z{i}"] = z[:, i]
-        return pdf
+        return pdf.drop(columns=["thermal_", "own_", "shared_"])
 
-    return rows.groupBy("dataset_id", "particle_id").applyInPandas(run, schema)
+    scaled = rows.withColumns({"thermal_": thermal.cast("double"), "own_": own.cast("double"), "shared_": shared.cast("double")})
+    return scaled.groupBy("dataset_id", "particle_id").applyInPandas(run, schema)
 
 
 def ud_residuals(df: DataFrame, force: Sequence[Column], diffusion: np.ndarray, noise: np.ndarray | None = None) -> DataFrame:
-    """Whitened residuals of the secant acceleration, every second valid frame; covariance 2/3 A / dt + 6 L / dt ** 4."""
+    """Whitened residuals of the secant acceleration, every second frame of a dataset from its second on.
+
+    Covariance 2/3 A / dt + 6 L / dt ** 4 with each row's own step; rows two
+    frames apart share L / dt ** 4. ``force`` may use x0.. and v0.., which stand
+    for the mean of three positions and the secant velocity.
+    """
     dim = len(force)
-    rows = with_streams(df, (-1, 1), [f"x{i}" for i in range(dim)]).where(mask(["dX", "dX_minus"]))
-    acc = [est.ud_acceleration("symmetric", i) - force[i] for i in range(dim)]
-    rows = rows.select("dataset_id", "particle_id", "time_idx", est.step().alias("dt"), *[a.alias(f"r{i}") for i, a in enumerate(acc)])
-    first = F.min("time_idx").over(Window.partitionBy("dataset_id"))
-    rows = rows.withColumn("k", F.col("time_idx") - first).where("k % 2 = 0").drop("k")
-    lam = np.zeros((dim, dim)) if noise is None else np.asarray(noise, float)
-    dt = rows.agg(F.avg("dt")).first()[0] or 1.0
-    w = np.linalg.inv(np.linalg.cholesky(4 / 3 * np.asarray(diffusion, float) / dt + 6 * lam / dt**4))
-    return rows.withColumns({f"z{i}": sum((F.col(f"r{j}") * float(w[i, j]) for j in range(i + 1)), F.lit(0.0)) for i in range(dim)})
+    first = df.groupBy("dataset_id").agg(F.min("time_idx").alias("first_"))  # a row per dataset
+    rows = with_streams(df, (-1, 1), [f"x{i}" for i in range(dim)]).where(mask(["dX", "dX_minus"])).join(first, "dataset_id")
+    rows = rows.where((F.col("time_idx") - F.col("first_")) % 2 == 1)
+    acc = [est.ud_acceleration("symmetric", i).alias(f"a{i}") for i in range(dim)]
+    state = [est.ud_position("symmetric", i).alias(f"x{i}") for i in range(dim)] + [est.ud_velocity("symmetric", i).alias(f"v{i}") for i in range(dim)]
+    rows = rows.select("dataset_id", "particle_id", "time_idx", est.step().alias("dt"), *acc, *state)
+    rows = rows.select("dataset_id", "particle_id", "time_idx", "dt", *[(F.col(f"a{i}") - force[i]).alias(f"r{i}") for i in range(dim)])
+    dt = F.col("dt")
+    fourth = 1 / (dt * dt * dt * dt)
+    return _whitened(rows, 2 * np.asarray(diffusion, float), noise, dim, 2 / (3 * dt), 6 * fourth, fourth, 2)
 
 
 def moments(rows: DataFrame, name: str = "z0") -> DataFrame:
@@ -107,11 +117,19 @@ def moments(rows: DataFrame, name: str = "z0") -> DataFrame:
     return s.select(n.cast("long").alias("n"), m.alias("mean"), std.alias("std"), (c3 / (std * std * std)).alias("skew"), (c4 / (var * var) - 3).alias("kurtosis"))
 
 
+def covariance(rows: DataFrame, dim: int) -> DataFrame:
+    """(i, j, cov): sample covariances of the components z0.. of whitened residuals, in one pass."""
+    pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
+    one = rows.agg(*[F.covar_samp(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs]
+    return one.select(F.inline(F.array(*cells)))
+
+
 def autocorrelation(rows: DataFrame, name: str = "z0", lags: int = 20, keys: Sequence[str] = ("dataset_id", "particle_id")) -> DataFrame:
     """(lag, acf, q): pooled autocorrelation within tracks, gaps closed up, and the Ljung-Box sum up to that lag."""
     order = Window.partitionBy(*keys).orderBy("time_idx")
     mean = rows.agg(F.avg(name).alias("mean_"), F.count(name).alias("n_"))
-    z = rows.join(F.broadcast(mean)).withColumn("c_", F.col(name) - F.col("mean_"))
+    z = rows.crossJoin(F.broadcast(mean)).withColumn("c_", F.col(name) - F.col("mean_"))
     sums = z.withColumns({f"l{k}": F.lag("c_", k).over(order) for k in range(1, lags + 1)})
     one = sums.agg(F.first("n_").cast("double").alias("n"), F.sum(F.col("c_") * F.col("c_")).alias("s0"), *[F.sum(F.col("c_") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
     each = one.select("n", "s0", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(1, lags + 1)])))
@@ -199,7 +217,7 @@ def assess(rows: DataFrame, dim: int, alpha: float = 0.01, lags: int = 20) -> li
 
 
 def lag_covariances(df: DataFrame, strides: Sequence[int], dim: int = 1) -> DataFrame:
-    """(stride, n, dt, c0, c1, c2): traces of the displacements' covariances at lags 0, 1, 2, for every stride in one job.
+    """(stride, n, n_pair, dt, c0, c1, c2): traces of the displacements' covariances at lags 0, 1, 2, for every stride in one job.
 
     Rows of all strides are exploded from one scan; each stride keeps the frames
     that it divides, renumbered. Means are weighted by dt.
@@ -207,7 +225,7 @@ def lag_covariances(df: DataFrame, strides: Sequence[int], dim: int = 1) -> Data
     rows = df.withColumn("stride", F.explode(F.array(*[F.lit(s) for s in strides]))).where("time_idx % stride = 0")
     rows = rows.withColumn("time_idx", (F.col("time_idx") / F.col("stride")).cast("long"))
     rows = with_streams(rows, (-1, 1, 2), [f"x{i}" for i in range(dim)], keys=("dataset_id", "particle_id", "stride"))
-    out = [F.count(F.when(mask(["dX"]), 1)).alias("n"), F.avg(F.when(mask(["dX"]), est.step())).alias("dt")]
+    out = [F.count(F.when(mask(["dX"]), 1)).alias("n"), F.count(F.when(mask(["dX_minus", "dX_plus"]), 1)).alias("n_pair"), F.avg(F.when(mask(["dX"]), est.step())).alias("dt")]
     for k in range(3):
         kind = f"lag{k}"
         ok = mask(est.NEEDS[kind])
@@ -224,10 +242,19 @@ def order_model(dt: np.ndarray, noise: float, d: float, v2: float, gamma: float)
     return np.stack([2 * noise + 2 * d * dt + free, -noise + shared, shared * np.exp(-g)])
 
 
+#: The AICc gap and the significance of the velocity's variance from which inertia is preferred, and the
+#: lag-2 persistence at the finest step above which it is resolved, and below which the data look overdamped.
+AICC_MARGIN, V_SIGNIFICANCE = 2.0, 3.0
+RESOLVED, UNRESOLVED = 0.15, 0.05
+
+
 @dataclass
 class OrderReport:
     verdict: str
     aicc_gap: float
+    v_significance: float
+    persistence: float
+    slope: float
     noise: float
     diffusion: float
     v2: float
@@ -238,36 +265,56 @@ class OrderReport:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+def scaling(dt: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
+    """From covariances at lags 0, 1, 2 over steps dt, free of localisation noise: the lag-2 persistence
+    c2 / (c0 + 2 c1) at each step, and the power of dt that the apparent kinetic energy (c0 + 2 c1) / dt ** 2 follows."""
+    free = c[0] + 2 * c[1]
+    persistence = np.divide(c[2], free, out=np.zeros_like(free), where=free != 0)
+    energy = free / dt**2
+    good = energy > 0
+    return persistence, float(np.polyfit(np.log(dt[good]), np.log(energy[good]), 1)[0]) if good.sum() > 1 else math.nan
+
+
 def classify_dynamics(df: DataFrame, dim: int = 1, most: int = 6, least_rows: int = 200) -> OrderReport:
     """Overdamped or underdamped, from how displacement covariances scale with the stride.
 
     A full model (noise, diffusion, velocity and its rate) is fitted against one
-    without a velocity; their AICc gap decides beyond 2, with the velocity's share
-    of the displacement as a guard.
+    without a velocity, weighted by the number of samples. Inertia is preferred if
+    the AICc gap and the velocity's significance are large; the verdict also asks
+    for the lag-2 persistence at the finest step.
     """
     frames = df.agg(F.max("time_idx") + 1).first()[0]
     strides = [2**k for k in range(most) if frames // 2**k >= min(least_rows, frames)]
     table = [r.asDict() for r in lag_covariances(df, strides or [1], dim).orderBy("stride").collect()]  # a row per stride
     dt = np.array([r["dt"] for r in table])
-    c = np.array([[r[f"c{k}"] for r in table] for k in range(3)])
-    weight = 1 / (np.sqrt(2 / np.array([max(2, r["n"]) for r in table])) * np.maximum(np.abs(c[0]), 1e-300))
+    c = np.array([[r[f"c{k}"] or 0.0 for r in table] for k in range(3)])
+    weight = np.sqrt(np.maximum([r["n_pair"] for r in table], 1)) / max(float(np.median(np.abs(c[0]))), 1e-12)
     scale = max(c[0].max(), 1e-300)
-    top = np.array([scale, scale / dt.min(), scale / dt.min() ** 2, 50 / dt.min()])
+    top = np.array([scale, scale / dt.min(), scale / dt.min() ** 2, 1e3 / dt.min()])
+    slowest = 1e-3 / dt.max() / top[3]
+
+    def residual(full: np.ndarray) -> np.ndarray:
+        return ((order_model(dt, *(full * top)) - c) * weight).ravel()
 
     def fit(free: Sequence[int]) -> tuple[np.ndarray, float]:
-        def residual(x: np.ndarray) -> np.ndarray:
-            full = np.zeros(4)
-            full[list(free)] = x * top[list(free)]
-            return ((order_model(dt, *full) - c) * weight).ravel()
-
-        starts = [np.full(len(free), s) for s in (0.01, 0.1, 0.5)]
-        return min((gauss_newton(residual, s, np.zeros(len(free)), np.ones(len(free))) for s in starts), key=lambda x: x[1])
-
-    n = c.size
-    aicc = lambda cost, k: cost + 2 * k + 2 * k * (k + 1) / max(1, n - k - 1)
-    (x, cost), (_, cost0) = fit([0, 1, 2, 3]), fit([0, 1])
-    gap = aicc(cost0, 2) - aicc(cost, 4)
-    noise, d, v2, gamma = x * top
-    share = v2 * dt[0] ** 2 / max(c[0][0], 1e-300)
-    verdict = "underdamped" if gap > 2 and share > 0.15 else "overdamped" if gap < 2 or share < 0.05 else "inconclusive"
-    return OrderReport(verdict, float(gap), float(noise), float(d), float(v2), float(gamma), table)
+        spread = lambda x: np.array([x[list(free).index(k)] if k in free else 0.0 for k in range(4)])
+        low = np.array([slowest if k == 3 else 0.0 for k in free])
+        guesses = [[c[0][0] / 2 / top[0], c[0][-1] / 2 / dt[-1] / top[1], max(c[2][0], 0) / dt[0] ** 2 / top[2], g / np.median(dt) / top[3]] for g in (0.1, 1.0, 10.0)]
+        starts = [np.clip([x[k] for k in free], low, 1.0) for x in guesses] + [np.maximum(low, share) for share in (0.01, 0.1, 0.5)]
+        return min((gauss_newton(lambda x: residual(spread(x)), s, low, np.ones(len(free))) for s in starts), key=lambda x: x[1])
+
+    m = c.size
+    aicc = lambda ssr, k: m * math.log(max(ssr, 1e-300) / m) + 2 * k + (2 * k * (k + 1) / (m - k - 1) if m > k + 1 else 0)
+    x, null = fit([0, 1, 2, 3])[0], fit([0, 1])[0]
+    ssr, ssr0 = (float((residual(v) ** 2).sum()) for v in (x, np.append(null, [0.0, 0.0])))
+    gap = aicc(ssr0, 2) - aicc(ssr, 4)
+    h = 1e-6 * np.maximum(x, 1e-6)
+    jac = np.stack([(residual(x + h * (np.arange(4) == k)) - residual(x - h * (np.arange(4) == k))) / (2 * h[k]) for k in range(4)], axis=1)
+    variance = np.diag(scaled_pinv(jac.T @ jac)) * ssr / max(m - 4, 1)
+    significance = float(x[2] / math.sqrt(variance[2])) if variance[2] > 0 else math.inf
+    persistence, slope = scaling(dt, c)
+    fine = float(persistence[int(np.argmin(dt))])
+    inertia = gap > AICC_MARGIN and significance > V_SIGNIFICANCE
+    verdict = "underdamped" if inertia and fine > RESOLVED else "overdamped" if not inertia or fine < UNRESOLVED else "inconclusive"
+    noise, d, v2, gamma = (float(v) for v in x * top)
+    return OrderReport(verdict, float(gap), significance, fine, slope, noise, d, v2, gamma, table)

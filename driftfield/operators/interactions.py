@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftfield.functions.basis import Basis
+from driftfield.functions.expr import Const, Expr, Var, is_zero, sqrt
+
 FRAME = ("dataset_id", "time_idx")
 
 
@@ -162,3 +166,60 @@ def hyperedges(df: DataFrame, members: DataFrame, values: Sequence[str]) -> Data
     rows = rows.groupBy(*FRAME, "edge_id").agg(F.array_sort(F.collect_list(F.struct("slot", *values))).alias("slots"))
     rows = rows.join(size, ["dataset_id", "edge_id"]).where(F.size("slots") == F.col("size"))
     return rows.select(*FRAME, "edge_id", *[F.col(f"slots.{v}").alias(v) for v in values])
+
+
+# Pair features that enter a fit.
+
+
+def separation(dim: int) -> list[Var]:
+    """From the focal particle to the other, as variables of pair expressions."""
+    return [Var(f"d{k}") for k in range(dim)]
+
+
+def central(dim: int, kernel: Callable[[Expr], Expr], soft: float = 1e-12) -> list[Expr]:
+    """A kernel of the distance along the unit vector to the other particle."""
+    d = separation(dim)
+    r = sqrt(sum((x * x for x in d), Const(soft)))
+    return [kernel(r) * x / r for x in d]
+
+
+@dataclass(frozen=True)
+class Gathered(Var):
+    """A column summed over pairs, with the columns of its derivatives in the focal particle's own place."""
+
+    slopes: tuple[tuple[str, str], ...] = ()
+
+    def diff(self, name):
+        found = dict(self.slopes)
+        return Var(found[name]) if name in found else super().diff(name)
+
+
+def gathered(df: DataFrame, kernels: Mapping[str, Sequence[Expr]], pairs: DataFrame, box: Sequence[float] | None = None) -> tuple[DataFrame, Basis, list[str]]:
+    """Vector features of pairs, summed over each particle's partners: (table with their columns, the features, the columns' names).
+
+    A kernel has an expression per axis of the displacement d0.. to the other
+    particle, and of any columns of both sides (``theta_i``, ``theta_j``).
+    Derivatives in the focal particle's place follow from the expressions' own
+    (its displacement changes with the opposite sign), so fits that need the
+    Jacobian have it. A particle without partners has zeros.
+    """
+    dim = len(next(iter(kernels.values())))
+    env = {f"d{k}": c for k, c in enumerate(displacement(dim, box))}
+    columns: dict[str, Column] = {}
+    features = []
+    for a, kernel in enumerate(kernels.values()):
+        parts = []
+        for i, e in enumerate(kernel):
+            name = f"pair{a}_{i}"
+            columns[name] = e.column(env)
+            slopes = []
+            for n in range(dim):
+                slope = -e.diff(f"d{n}")
+                if not is_zero(slope):
+                    slopes.append((f"x{n}", f"{name}_d{n}"))
+                    columns[f"{name}_d{n}"] = slope.column(env)
+            parts.append(Gathered(name, tuple(slopes)))
+        features.append(parts)
+    sums = dispatch(pairs, columns).drop("degree")
+    out = df.join(sums, [*FRAME, "particle_id"], "left").fillna(0.0, list(columns))
+    return out, Basis(features, dim, list(kernels)), list(columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftfield.operators import grid as gr
+from driftfield.operators.degrade import data_loss, standard_normal
 
 
 @dataclass(frozen=True)
@@ -108,14 +109,12 @@ class Layout:
 def degrade_spatial(
     df: DataFrame, fields: Sequence[str], shape: Sequence[int], blur: int = 0, factor: int = 1, noise: float = 0.0, loss: float = 0.0, seed: int = 0, edge: str = "pbc"
 ) -> DataFrame:
-    """A field as a poorer camera sees it: box blur, then blocks, then noise, then lost sites (by a hash of the site, so reruns agree)."""
+    """A field as a poorer camera sees it: box blur, then blocks, then noise, then an exact share of lost sites; reruns agree."""
     if blur:
         df = gr.box_blur(df, fields, blur, shape, edge)
     if factor > 1:
         df = gr.block_downscale(df, fields, factor, shape)
+    site = ["time_idx", *[f"c{a}" for a in range(len(shape))]]
     if noise:
-        df = df.withColumns({f: F.col(f) + F.randn(seed + i) * noise for i, f in enumerate(fields)})
-    if loss:
-        site = [*gr.FRAME, *[f"c{a}" for a in range(len(shape))]]
-        df = df.where(F.pmod(F.xxhash64(F.lit(seed), *site), F.lit(1_000_000)) >= int(loss * 1_000_000))
-    return df
+        df = df.withColumns({f: F.col(f) + standard_normal(seed, F.lit(str(i)), "dataset_id", *site) * noise for i, f in enumerate(fields)})
+    return data_loss(df, loss, seed, site) if loss else df

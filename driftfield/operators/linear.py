@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftfield.functions.basis import Basis
+from driftfield.functions.expr import is_zero
 from driftfield.functions.numerics import norm_ppf, scaled_pinv, solve_normal, sqrtm_psd
 from driftfield.operators import estimators as est
-from driftfield.operators.reduce import gram
+from driftfield.operators.reduce import Product, products
 from driftfield.operators.sparse import Front, select, search
-from driftfield.operators.streams import at, difference, mask, with_streams
+from driftfield.operators.streams import at, difference, mask, with_halo, with_streams
 
 OD_PRESETS = {"robust": ("strato", "shift"), "clean": ("ito", "trapeze"), "km": ("ito", "rectangle"), "legacy": ("strato", "rectangle")}
 UD_PRESETS = {
@@ -26,14 +29,56 @@ UD_PRESETS = {
 UD_SHIFT = {"symmetric": 1.0, "early": 1 / 3, "anticipated": 0.0}
 
 
-def placed(basis: Basis, k: int, dim: int) -> np.ndarray:
-    """The features at frame k."""
-    return basis.columns({f"x{i}": at(f"x{i}", k) for i in range(dim)} | {"t": at("t", k)})
+#: Frames of a track that share a window; longer tracks are cut to blocks with halos.
+BLOCK = 1 << 16
+
+
+def sparse(basis: Basis, names: dict[str, Column]) -> np.ndarray:
+    """The features as Columns, None where a component is 0 by construction."""
+    out = basis.columns(names)
+    out[np.vectorize(is_zero, otypes=[bool])(basis.values)] = None
+    return out
+
+
+def placed(basis: Basis, k: int, names: Sequence[str]) -> np.ndarray:
+    """The features at frame k, of the columns ``names`` that are known there."""
+    return sparse(basis, {n: at(n, k) for n in names})
 
 
 def moving(basis: Basis, x: Sequence[Column], v: Sequence[Column]) -> np.ndarray:
     """The features at given positions and velocities."""
-    return basis.columns({f"x{i}": c for i, c in enumerate(x)} | {f"v{i}": c for i, c in enumerate(v)})
+    return sparse(basis, {f"x{i}": c for i, c in enumerate(x)} | {f"v{i}": c for i, c in enumerate(v)})
+
+
+def total(terms: Iterable[Column | None]) -> Column | None:
+    """A sum of Columns, None if there is none."""
+    found = [t for t in terms if t is not None]
+    return reduce(add, found) if found else None
+
+
+def times(column: Column | None, factor: float) -> Column | None:
+    return None if column is None or not factor else column * F.lit(float(factor))
+
+
+def mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(a.shape, object)
+    for k in np.ndindex(a.shape):
+        out[k] = times(total([a[k], b[k]]), 0.5)
+    return out
+
+
+def against(features: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Each feature's last axis contracted with a matrix, so that the sums over rows are of p x p products only."""
+    out = np.empty(features.shape, object)
+    for k in np.ndindex(features.shape):
+        out[k] = total(times(features[k[:-1]][n], inverse[k[-1], n]) for n in range(inverse.shape[1]))
+    return out
+
+
+def row_of(columns: Sequence[Column]) -> np.ndarray:
+    out = np.empty((1, len(columns)), object)
+    out[0, :] = columns
+    return out
 
 
 @dataclass
@@ -88,6 +133,11 @@ class Fit:
         cov[np.ix_(support, support)] = scaled_pinv((g + g.T) / 2)
         return Fit(self.basis, c, self.gram, self.moments, support, cov, dict(self.meta))
 
+    def coeff_block(self, *labels: str) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+        """Labels, coefficients and covariance of the features whose label has one of ``labels`` as a factor."""
+        at_ = [i for i, name in enumerate(self.basis.labels) if set(name.split("*")) & set(labels) or name in labels]
+        return [self.basis.labels[i] for i in at_], self.coefficients[at_], None if self.covariance is None else self.covariance[np.ix_(at_, at_)]
+
     def to_json(self) -> str:
         return json.dumps(
             {"labels": self.basis.labels, "coefficients": self.coefficients.tolist(), "support": self.support, "meta": self.meta,
@@ -110,9 +160,17 @@ class Langevin:
     reach: tuple[int, ...]
     kinds: tuple[str, ...]
 
-    def __init__(self, df: DataFrame, dim: int):
-        self.dim = dim
-        self.rows = with_streams(df, self.reach, [f"x{i}" for i in range(dim)])
+    def __init__(self, df: DataFrame, dim: int, extras: Sequence[str] = (), block: int = BLOCK):
+        """Windows run along blocks of ``block`` frames of each track, so that a long track is many tasks.
+
+        ``extras`` are columns that features use and that change with the frame,
+        such as sums over pairs.
+        """
+        self.dim, self.extras, state = dim, list(extras), [f"x{i}" for i in range(dim)]
+        self.names = [*state, *self.extras, "t"]
+        cut = with_halo(df, block, max(map(abs, self.reach)))
+        rows = with_streams(cut, self.reach, [*state, *self.extras], keys=("dataset_id", "particle_id", "block"))
+        self.rows = rows.where("not halo").drop("block", "halo")
         self.diffusion: np.ndarray | None = None
 
     def diffusion_constants(self, method: str = "auto") -> dict[str, np.ndarray]:
@@ -148,10 +206,24 @@ class Langevin:
         fit.meta["nmse_pred"] = float(np.trace(g @ fit.covariance) / (2 * info)) if info else math.nan
         return fit
 
-    def _sum(self, left: np.ndarray, right: np.ndarray, weight: Column) -> np.ndarray:
-        """Sums of left[i, m] * right[j, o] * weight for all (i, m), (j, o)."""
-        g = gram(self.rows, list(left.reshape(-1)), list(right.reshape(-1)), weight)
-        return g.reshape(*left.shape, *right.shape)
+    @staticmethod
+    def _solved(found: dict[str, np.ndarray]) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """The Gram matrix and the moments, from the sums of their parts."""
+        parts = [v for k, v in found.items() if k[0] == "g"]
+        m = found["m"][0] - (found["drift"][0] if "drift" in found else 0) if "m" in found else None
+        return (sum(parts) / len(parts) if parts else None), m
+
+    def _regress(self, b: np.ndarray, kind: str, weight: Column, basis: Basis) -> Fit:
+        """Least squares of an estimator's matrices on a dictionary of matrices, in one pass."""
+        b = b.reshape(len(b), -1)
+        seen = row_of([est.tensor(kind, i, j) for i in range(self.dim) for j in range(self.dim)])
+        trace, one = row_of([est.tensor(kind, i, i) for i in range(self.dim)]), row_of([F.lit(1.0)] * self.dim)
+        found = products(self.rows, {"g": Product(b, b, weight), "m": Product(seen, b, weight), "d": Product(trace, one, weight), "n": Product(one, one, weight)})
+        fit = self.finish(basis, found["g"], found["m"][0], kind=kind)
+        # Errors as if the diffusion were its mean everywhere: a row's estimate then scatters by 2 D ** 2.
+        effective = found["d"][0, 0] / found["n"][0, 0] if found["n"][0, 0] else math.nan
+        fit.covariance = 2 * effective**2 * fit.covariance
+        return fit
 
     def sparsify(self, fit: Fit, criterion: str = "PASTIS", method: str = "beam", p0: float = 0.05, **options) -> tuple[Fit, Front]:
         front = search(fit.gram, fit.moments, method, **options)
@@ -160,7 +232,7 @@ class Langevin:
 
     def holdout_score(self, fit: Fit, other: DataFrame) -> float:
         """Residual error of a fitted force on other data, normalised by the residual of no force."""
-        model = type(self)(other, self.dim)
+        model = type(self)(other, self.dim, self.extras)
         x, a = [F.col(f"x{i}") for i in range(self.dim)], self.inverse
         v = [difference(f"x{i}", 0) / est.step() for i in range(self.dim)]
         f = [e.column({f"v{i}": v[i] for i in range(self.dim)} | {f"x{i}": x[i] for i in range(self.dim)}) for e in fit.field().reshape(-1)]
@@ -184,7 +256,7 @@ class Langevin:
         e = [f[i] - exact[i].column() for i in range(d)]
         square = lambda u: sum((u[i] * u[j] * float(ai[i, j]) for i in range(d) for j in range(d)), F.lit(0.0))
         row = self.rows.where(mask(["X"])).agg(F.avg(square(e)).alias("mse"), F.avg(square(f)).alias("norm")).first()
-        return {"mse": row["mse"], "nmse": row["mse"] / (row["norm"] + 1e-12)}
+        return {"mse": row["mse"], "norm": row["norm"], "nmse": row["mse"] / (row["norm"] + 1e-12)}
 
 
 class Overdamped(Langevin):
@@ -199,56 +271,50 @@ class Overdamped(Langevin):
             name = "robust" if np.trace(self.noise) > 0 else "clean"
         return OD_PRESETS[name.lower()]
 
-    def force_gram(self, basis: Basis, mode: str) -> np.ndarray:
-        """Sum of dt b A**-1 b over rows, by rectangles, trapezes, or shifted by a frame."""
-        now, after = placed(basis, 0, self.dim), placed(basis, 1, self.dim)
+    def _gram(self, basis: Basis, mode: str) -> dict[str, Product]:
+        now, after = placed(basis, 0, self.names), placed(basis, 1, self.names)
         weight = F.when(mask(["X"]), est.step())
-        b = {"rectangle": (now,), "trapeze": (now, after), "shift": (after,)}[mode]
-        total = sum(self._sum(now, x, weight) for x in b) / len(b)
-        return np.einsum("ambn,mn->ab", total, self.inverse)
+        other = {"rectangle": [now], "trapeze": [now, after], "shift": [after]}[mode]
+        return {f"g{k}": Product(now, against(b, self.inverse), weight) for k, b in enumerate(other)}
 
-    def force_moments(self, basis: Basis, mode: str) -> np.ndarray:
-        """Sum of dX A**-1 b in Ito's sense (at the start, or a frame before), or Stratonovich's less its noise-induced part."""
+    def _moments(self, basis: Basis, mode: str) -> dict[str, Product]:
         d = self.dim
-        dx = np.array([difference(f"x{i}", 0) for i in range(d)], object)
-        sums = lambda b, ok: self._sum(dx, b, F.when(ok, F.lit(1.0)))
+        dx = row_of([difference(f"x{i}", 0) for i in range(d)])
+        one = lambda needs: F.when(mask(needs), F.lit(1.0))
         if mode == "ito":
-            total = sums(placed(basis, 0, d), mask(["dX"]))
-        elif mode == "ito_shift":
-            total = sums(placed(basis, -1, d), mask(["dX", "X_minus"]))
-        else:
-            mid = (placed(basis, 0, d) + placed(basis, 1, d)) / F.lit(2.0)
-            total = sums(mid, mask(["dX"]))
-        m = np.einsum("man,mn->a", total, self.inverse)
+            return {"m": Product(dx, against(placed(basis, 0, self.names), self.inverse), one(["dX"]))}
+        if mode == "ito_shift":
+            return {"m": Product(dx, against(placed(basis, -1, self.names), self.inverse), one(["dX", "X_minus"]))}
+        out = {"m": Product(dx, against(mean(placed(basis, 0, self.names), placed(basis, 1, self.names)), self.inverse), one(["dX"]))}
         if mode == "strato":
-            slope = placed(basis.d_x(), 0, d)  # feature, derivative, component
-            noisy = np.array([[est.tensor("od_noisy", i, j) for j in range(d)] for i in range(d)], object)
-            weight = F.when(mask(est.NEEDS["od_noisy"]), est.step())
-            drift = self._sum(noisy, slope, weight)  # m, n | a, derivative, component
-            m = m - np.einsum("mnano,om->a", drift, self.inverse)
-        return m
+            slope = against(placed(basis.d_x(), 0, self.names), self.inverse)  # feature, derivative n, component m
+            noisy = row_of([est.tensor("od_noisy", m, n) for m in range(d) for n in range(d)])
+            out["drift"] = Product(noisy, slope.transpose(0, 2, 1).reshape(len(slope), d * d), F.when(mask(est.NEEDS["od_noisy"]), est.step()))
+        return out
+
+    def force_gram(self, basis: Basis, mode: str) -> np.ndarray:
+        """Sum of dt b A**-1 b over rows, by rectangles, trapezes, or shifted by a frame."""
+        return self._solved(products(self.rows, self._gram(basis, mode)))[0]
+
+    def force_moments(self, basis: Basis, mode: str) -> np.ndarray:
+        """Sum of dX A**-1 b in Ito's sense (at the start, or a frame before), or Stratonovich's less its noise-induced part."""
+        return self._solved(products(self.rows, self._moments(basis, mode)))[1]
 
     def infer_force(self, basis: Basis, preset: str = "auto") -> Fit:
+        """One pass for the diffusion, and one for all sums of the Gram matrix and the moments."""
         m_mode, g_mode = self.preset(preset)
-        return self.finish(basis, self.force_gram(basis, g_mode), self.force_moments(basis, m_mode), modes=[m_mode, g_mode])
+        g, m = self._solved(products(self.rows, self._gram(basis, g_mode) | self._moments(basis, m_mode)))
+        return self.finish(basis, g, m, modes=[m_mode, g_mode])
 
     def infer_diffusion(self, basis: Basis, method: str = "noisy") -> Fit:
         """State-dependent diffusion over symmetric matrices, by per-row regression."""
         kind = f"od_{method}"
-        ok = F.when(mask(est.NEEDS[kind]), F.lit(1.0))
-        b = placed(basis, 0, self.dim)
-        d = np.array([[est.tensor(kind, i, j) for j in range(self.dim)] for i in range(self.dim)], object)
-        g = np.einsum("amnbmn->ab", self._sum(b, b, ok))
-        m = np.einsum("mnamn->a", self._sum(d, b, ok))
-        return self.finish(basis, g, m, kind=kind)
-
-    def entropy_production(self, basis: Basis) -> dict[str, float]:
+        return self._regress(placed(basis, 0, self.names), kind, F.when(mask(est.NEEDS[kind]), F.lit(1.0)), basis)
+
+    def entropy_production(self, basis: Basis, gram: str = "auto") -> dict[str, float]:
         """Entropy produced along the tracks: 2 Mv G+ Mv with the current's moments, its bias 2 Nb, and its error."""
-        _, g_mode = self.preset("auto")
-        g = self.force_gram(basis, g_mode)
-        mid = (placed(basis, 0, self.dim) + placed(basis, 1, self.dim)) / F.lit(2.0)
-        dx = np.array([difference(f"x{i}", 0) for i in range(self.dim)], object)
-        mv = np.einsum("man,mn->a", self._sum(dx, mid, F.when(mask(["dX"]), F.lit(1.0))), self.inverse)
+        g_mode = self.preset("auto")[1] if gram == "auto" else gram
+        g, mv = self._solved(products(self.rows, self._gram(basis, g_mode) | self._moments(basis, "current")))
         total = float(2 * mv @ scaled_pinv((g + g.T) / 2) @ mv)
         n = len(mv)
         return {"delta_s": total, "debiased": total - 2 * n, "rate": (total - 2 * n) / self.tau, "error": math.sqrt(2 * max(total, 0) + (2 * n) ** 2)}
@@ -266,8 +332,7 @@ class Underdamped(Langevin):
         needs = needs + ["dX_minus"] if mode == "anticipated" else needs
         return [est.ud_position(mode, i) for i in d], [est.ud_velocity(mode, i) for i in d], [est.ud_acceleration(mode, i) for i in d], needs
 
-    def force_gram(self, basis: Basis, mode: str) -> np.ndarray:
-        """As seen from secant velocities; all of them divide by the row's own step. Transposed, as the moments contract it."""
+    def _gram(self, basis: Basis, mode: str) -> dict[str, Product]:
         d = range(self.dim)
         here = lambda k: ([at(f"x{i}", k) for i in d], [difference(f"x{i}", k) / est.step() for i in d])
         now, before, after = (moving(basis, *here(k)) for k in (0, -1, 1))
@@ -275,36 +340,40 @@ class Underdamped(Langevin):
             "rectangle": [(now, now, ["dX"])], "shift": [(now, before, ["dX", "dX_minus"])],
             "trapeze": [(now, now, ["dX", "dX_minus"]), (now, before, ["dX", "dX_minus"])], "doubleshift": [(after, before, ["dX_plus", "dX_minus"])],
         }[mode]
-        total = sum(self._sum(a, b, F.when(mask(needs), est.step())) for a, b, needs in pair) / len(pair)
-        return np.einsum("ambn,mn->ab", total, self.inverse).T
+        # Transposed, as the moments contract it: the second factor's features come first.
+        return {f"g{k}": Product(against(b, self.inverse), a, F.when(mask(needs), est.step())) for k, (a, b, needs) in enumerate(pair)}
 
-    def force_moments(self, basis: Basis, mode: str, diffusion: str) -> np.ndarray:
-        """Sum of dt a A**-1 b at the estimated position and velocity, less the share of noise in the velocity."""
+    def _moments(self, basis: Basis, mode: str, diffusion: str) -> dict[str, Product]:
         x, v, a, needs = self._kinematics(mode)
         kind = f"ud_{diffusion}"
-        b = moving(basis, x, v)
-        m = np.einsum("man,mn->a", self._sum(np.array(a, object), b, F.when(mask(needs), est.step())), self.inverse)
-        share = UD_SHIFT[mode]
-        if share:
-            slope = moving(basis.d_v(), x, v)
-            inst = np.array([[est.tensor(kind, i, j) for j in range(self.dim)] for i in range(self.dim)], object)
-            w = F.when(mask([*needs, *est.NEEDS[kind]]), est.step())
-            drift = self._sum(inst, slope, w)  # m, n | a, derivative m', component o
-            m = m - share * np.einsum("mnamo,no->a", drift, self.inverse)
-        return m
+        out = {"m": Product(row_of(a), against(moving(basis, x, v), self.inverse), F.when(mask(needs), est.step()))}
+        if share := UD_SHIFT[mode]:
+            d = self.dim
+            slope = against(moving(basis.d_v(), x, v), share * self.inverse)  # feature, derivative m, component n
+            inst = row_of([est.tensor(kind, m, n) for m in range(d) for n in range(d)])
+            out["drift"] = Product(inst, slope.reshape(len(slope), d * d), F.when(mask([*needs, *est.NEEDS[kind]]), est.step()))
+        return out
+
+    def force_gram(self, basis: Basis, mode: str) -> np.ndarray:
+        """As seen from secant velocities; all of them divide by the row's own step."""
+        return self._solved(products(self.rows, self._gram(basis, mode)))[0]
+
+    def force_moments(self, basis: Basis, mode: str, diffusion: str) -> np.ndarray:
+        """Sum of dt a A**-1 b at the estimated position and velocity, less the share of noise in the velocity."""
+        return self._solved(products(self.rows, self._moments(basis, mode, diffusion)))[1]
 
     def infer_force(self, basis: Basis, preset: str = "robust") -> Fit:
+        """One pass for the diffusion, and one for all sums of the Gram matrix and the moments."""
         mode, g_mode, diffusion = UD_PRESETS["robust" if preset == "auto" else preset.lower()]
-        return self.finish(basis, self.force_gram(basis, g_mode), self.force_moments(basis, mode, diffusion), modes=[mode, g_mode, diffusion])
+        g, m = self._solved(products(self.rows, self._gram(basis, g_mode) | self._moments(basis, mode, diffusion)))
+        return self.finish(basis, g, m, modes=[mode, g_mode, diffusion])
 
     def infer_diffusion(self, basis: Basis, method: str = "noisy") -> Fit:
         kind, d = f"ud_{method}", range(self.dim)
         how = "weak" if method == "weak" else "noisy"
         x, v = [est.ud_position(how, i) for i in d], [est.ud_velocity(how, i) for i in d]
-        b = moving(basis, x, v)
         ok = F.when(mask([*est.NEEDS[kind], "X_plusplus"] if how == "noisy" else est.NEEDS[kind]), F.lit(1.0))
-        inst = np.array([[est.tensor(kind, i, j) for j in d] for i in d], object)
-        return self.finish(basis, np.einsum("amnbmn->ab", self._sum(b, b, ok)), np.einsum("mnamn->a", self._sum(inst, b, ok)), kind=kind)
+        return self._regress(moving(basis, x, v), kind, ok, basis)
 
     def time_reversal_split(self, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
         """The reversible and irreversible parts of a force: even and odd in the velocity."""
@@ -313,12 +382,10 @@ class Underdamped(Langevin):
         return (f + flipped) * 0.5, (f - flipped) * 0.5
 
     def entropy_production(self, basis: Basis, preset: str = "robust") -> dict[str, float]:
-        """From a dictionary's odd part: 2 C.phi - 2 C G C over the features odd in velocity; blocks of time give the error."""
-        mode, g_mode, diffusion = UD_PRESETS[preset]
+        """From a dictionary's odd part: 2 C.phi - 2 C G C over the features odd in velocity, its bias 2 rank, and its error."""
         fit = self.infer_force(basis, preset)
         odd = [a for a in range(basis.n_features) if _odd(basis, a, self.dim)]
-        g, m = self.force_gram(basis, g_mode)[np.ix_(odd, odd)], self.force_moments(basis, mode, diffusion)[odd]
-        c = fit.coefficients[odd]
+        g, m, c = fit.gram[np.ix_(odd, odd)], fit.moments[odd], fit.coefficients[odd]
         total = float(2 * c @ m - 2 * c @ g @ c) if odd else 0.0
         rank = int(np.linalg.matrix_rank(g, tol=1e-5 * np.abs(g).max())) if odd else 0
         return {"delta_s": total, "debiased": total - 2 * rank, "rate": (total - 2 * rank) / self.tau, "error": math.sqrt(2 * abs(total) + (2 * rank) ** 2)}

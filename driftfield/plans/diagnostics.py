@@ -13,8 +13,8 @@ from driftfield.operators import parametric, simulate
 from driftfield.operators import sparse as sp
 from driftfield.operators.linear import Fit, Overdamped, Underdamped
 from driftfield.plans.overdamped import STREAMS_SQL, rounded
-from driftfield.plans.underdamped import even
-from driftfield.sources.tables import events
+from driftfield.plans.underdamped import EVEN_SQL, even
+from driftfield.sources.tables import LINES_SQL, events, lines
 
 QUERIES = {}
 ORACLES = {}
@@ -52,6 +52,19 @@ def residual_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("n", rounded("mean", F.col("mean"), 7), rounded("std", F.col("std"), 7), rounded("skew", F.col("skew")), rounded("kurtosis", F.col("kurtosis")))
 
 
+@register(
+    "residual_covariance",
+    f"""with {LINES_SQL},
+l as (select a.*, b.x0 - a.x0 u, b.x1 - a.x1 v from traj a join traj b on b.dataset_id = a.dataset_id and b.time_idx = a.time_idx + 1),
+z as (select u / sqrt(2.0) z0, (v - 0.5 * u) / sqrt(1.5) z1 from l)
+select 0 i, 0 j, round(covar_samp(z0, z0), 6) cov from z union all select 0, 1, round(covar_samp(z0, z1), 6) from z union all select 1, 1, round(covar_samp(z1, z1), 6) from z""",
+)
+def residual_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of two whitened components, with a correlated diffusion."""
+    z = dg.od_residuals(lines(spark, sf_dir), [F.lit(0.0), F.lit(0.0)], np.array([[1.0, 0.5], [0.5, 1.0]]))
+    return dg.covariance(z, 2).select("i", "j", rounded("cov", F.col("cov")))
+
+
 @register(
     "residual_acf_ljungbox",
     RESIDUAL_SQL + """,
@@ -106,16 +119,47 @@ def lag_covariances_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("stride", "n", *[rounded(k, F.col(k), 4) for k in ("c0", "c1", "c2")])
 
 
-@register("residual_innovations")
+@register(
+    "residual_innovations",
+    RESIDUAL_SQL.replace("with ", "with recursive ", 1) + """,
+n as (select l.dataset_id, l.time_idx, r, 1000 * dt + 20000 c from z join l using (dataset_id, time_idx)),
+w as (
+  select dataset_id, time_idx, c::double s, r::double e from n where time_idx = 0
+  union all
+  select n.dataset_id, n.time_idx, n.c - 100000000 / w.s, n.r + 10000 * w.e / w.s from w join n on n.dataset_id = w.dataset_id and n.time_idx = w.time_idx + 1)
+select dataset_id, time_idx, round(e / sqrt(s), 6) z0 from w""",
+)
 def residual_innovations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential whitening under heavy localisation noise."""
-    z = dg.od_residuals(events(spark, sf_dir), [(50 - F.col("x0")) * 0.01], np.array([[500.0]]), np.array([[2000.0]]))
-    return dg.moments(z)
+    z = dg.od_residuals(events(spark, sf_dir), [(50 - F.col("x0")) * 0.01], np.array([[500.0]]), np.array([[10000.0]]))
+    return z.select("dataset_id", "time_idx", rounded("z0", F.col("z0")))
 
 
-@register("ud_residuals")
+@register(
+    "ud_residuals",
+    EVEN_SQL.replace("with ", "with recursive ", 1) + """,
+n as (select dataset_id, time_idx, u - m + 0.2 * (u + m) / 2 r from l where u is not null and m is not null and time_idx % 2 = 1),
+w as (
+  select dataset_id, time_idx, (20 / 3 + 6)::double s, r::double e from n where time_idx = 1
+  union all
+  select n.dataset_id, n.time_idx, 20 / 3 + 6 - 1 / w.s, n.r - w.e / w.s from w join n on n.dataset_id = w.dataset_id and n.time_idx = w.time_idx + 2)
+select dataset_id, time_idx, round(e / sqrt(s), 6) z0 from w""",
+)
 def ud_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dg.moments(dg.ud_residuals(even(spark, sf_dir), [F.lit(0.0)], np.array([[5.0]]), np.array([[1.0]])))
+    """Residuals of friction alone under localisation noise, whitened along every second frame."""
+    z = dg.ud_residuals(even(spark, sf_dir), [F.col("v0") * -0.2], np.array([[5.0]]), np.array([[1.0]]))
+    return z.select("dataset_id", "time_idx", rounded("z0", F.col("z0")))
+
+
+@register(
+    "ud_residuals_uneven",
+    STREAMS_SQL + """
+select dataset_id, time_idx, round((u - m) / (dt * dt) / sqrt(2.0 / 3 * 1000 / dt), 6) z0 from l where u is not null and m is not null and time_idx % 2 = 1""",
+)
+def ud_residuals_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row is whitened with its own step."""
+    z = dg.ud_residuals(events(spark, sf_dir), [F.lit(0.0)], np.array([[500.0]]))
+    return z.select("dataset_id", "time_idx", rounded("z0", F.col("z0")))
 
 
 @register("diagnostics_report")
@@ -127,7 +171,28 @@ def diagnostics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("classify_dynamics")
 def classify_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = dg.classify_dynamics(even(spark, sf_dir))
-    return spark.createDataFrame([(r.verdict, r.aicc_gap, r.noise, r.diffusion, r.v2, r.gamma)], "verdict string, aicc_gap double, noise double, diffusion double, v2 double, gamma double")
+    names = ("verdict", "aicc_gap", "v_significance", "persistence", "slope", "noise", "diffusion", "v2", "gamma")
+    return spark.createDataFrame([tuple(getattr(r, n) for n in names)], "verdict string, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
+@register(
+    "order_scaling",
+    STREAMS_SQL.split(",\nl as")[0] + """,
+e as (select dataset_id, s stride, time_idx // s k, x0, t from traj, (select unnest([1, 2, 4]) s) where time_idx % s = 0),
+j as (select *, (lead(x0) over w) - x0 u, x0 - (lag(x0) over w) m, (lead(x0, 2) over w) - (lead(x0) over w) p, (lead(t) over w) - t dt
+      from e window w as (partition by dataset_id, stride order by k)),
+c as (
+  select stride, sum(dt * u * u) / sum(dt) c0, sum(case when m is not null then dt * u * m end) / sum(case when m is not null then dt end) c1,
+         sum(case when m is not null and p is not null then dt * m * p end) / sum(case when m is not null and p is not null then dt end) c2, avg(dt) dt from j group by stride)
+select stride::int stride, round(c2 / (c0 + 2 * c1), 5) persistence, round((c0 + 2 * c1) / (dt * dt), 4) energy from c""",
+)
+def order_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the dynamics' order that localisation noise leaves alone, by stride."""
+    table = [r.asDict() for r in dg.lag_covariances(events(spark, sf_dir), [1, 2, 4]).orderBy("stride").collect()]  # a row per stride
+    dt, c = np.array([r["dt"] for r in table]), np.array([[r[f"c{k}"] for r in table] for k in range(3)])
+    persistence, _ = dg.scaling(dt, c)
+    energy = (c[0] + 2 * c[1]) / dt**2
+    return spark.createDataFrame([(r["stride"], round(float(a), 5), round(float(b), 4)) for r, a, b in zip(table, persistence, energy, strict=True)], "stride int, persistence double, energy double")
 
 
 def quartic(spark: SparkSession, sf_dir: str, degree: int = 4) -> tuple[Overdamped, Fit]:
@@ -186,16 +251,29 @@ def bootstrap_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(fit.basis.labels, fit.coefficients, again.coefficients, strict=True)], "feature string, fitted double, refitted double")
 
 
-@register("entropy_production_ud")
+@register(
+    "entropy_production_ud",
+    EVEN_SQL + """,
+s as (select sum(x0 * (x0 + xm)) / 2 gxx, sum(u * (x0 + xm)) / 2 gxv, sum(x0 * (u + m)) / 2 gvx, sum(u * (u + m)) / 2 gvv from l where u is not null and m is not null),
+k as (select sum(case when u is not null and m is not null then (u - m) * (xm + x0 + xp) / 3 end) mx,
+         sum(case when u is not null and m is not null then (u - m) * (u + m) / 2 end)
+         - sum(case when m is not null and p is not null then (-u * u + m * m + p * p - 3 * p * m + u * p + u * m) * 3 / 11 end) mv, count(u) tau from l),
+d as (
+  select avg((10 * u * u + m * m + p * p + 8 * p * m - 10 * u * p - 10 * u * m) / 44) lam, avg((-u * u + m * m + p * p - 3 * p * m + u * p + u * m) * 3 / 11) noisy,
+         (select avg((2 * u - m - p) * (2 * u - m - p) / 2) from l where m is not null and p is not null) weak from l where m is not null and p is not null),
+f as (select *, (mv * gxx - mx * gvx) / (gxx * gvv - gxv * gvx) cv, 2 * case when lam > 0 then noisy else weak end a from s, k, d),
+y as (select *, (2 * cv * mv - 2 * cv * cv * gvv) / a total from f)
+select round(total, 4) delta_s, round(total - 2, 4) debiased, round((total - 2) / tau, 8) rate, round(sqrt(2 * abs(total) + 4), 5) error from y""",
+)
 def entropy_production_ud(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Underdamped(even(spark, sf_dir), 1).entropy_production(bases.linear(1, with_v=True).vectorize())
-    return spark.createDataFrame([tuple(float(v) for v in e.values())], ", ".join(f"{k} double" for k in e))
+    digits = {"delta_s": 4, "debiased": 4, "rate": 8, "error": 5}
+    return spark.createDataFrame([tuple(round(float(e[k]), n) for k, n in digits.items())], ", ".join(f"{k} double" for k in digits))
 
 
 @register("parametric_trap")
 def parametric_trap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saturating force fitted by likelihood to simulated tracks."""
-    force = [Var("a") * -1.0 * tanh(Var("x0") * Var("b"))]
-    df = simulate.simulate(spark, [e.bind({"a": 2.0, "b": 1.5}) for e in force], np.eye(1) * 0.5, replicas=8, frames=200, dt=0.05)
-    fit = parametric.infer(df, force, {"a": 1.0, "b": 1.0}, rounds=8)
+    """A saturating force around an unknown centre, fitted by likelihood to all events in steps of one."""
+    force = [Var("a") * -1.0 * tanh((Var("x0") - Var("c")) * 0.5)]
+    fit = parametric.infer(even(spark, sf_dir), force, {"a": 1.0, "c": 4.0}, rounds=4, profile=False)
     return spark.createDataFrame([(k, float(v), float(fit.diffusion)) for k, v in fit.theta.items()], "parameter string, value double, diffusion double")

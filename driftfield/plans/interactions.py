@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftfield.functions import basis as bases
+from driftfield.operators import degrade as dg
 from driftfield.operators import grid as gr
 from driftfield.operators import interactions as ia
+from driftfield.operators.linear import Overdamped
 from driftfield.plans.overdamped import rounded
 from driftfield.sources.tables import GRID_SQL, SWARM_SQL, grid, swarm
 
@@ -146,6 +149,52 @@ def hyperedges_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("time_idx", "edge_id", rounded("bend", F.get("x0", F.lit(0)) - 2 * F.get("x0", F.lit(1)) + F.get("x0", F.lit(2))))
 
 
+#: Steps of the swarm's particles in two dimensions, and A ** -1 (p, q; q, r) of their automatic diffusion.
+MOVES_SQL = f"""with {SWARM_SQL},
+f as (select *, sum(x0) over w - count(*) over w * x0 sx, sum(x1) over w - count(*) over w * x1 sy from traj window w as (partition by time_idx)),
+l as (
+  select a.*, b.x0 - a.x0 u, b.x1 - a.x1 v, a.x0 - c.x0 m, a.x1 - c.x1 n, b.x0 xp, b.x1 yp, b.sx sxp, b.sy syp
+  from f a left join f b on b.particle_id = a.particle_id and b.time_idx = a.time_idx + 1 left join f c on c.particle_id = a.particle_id and c.time_idx = a.time_idx - 1),
+e as (
+  select avg(-u * m) + avg(-v * n) lam, avg((u * u + 4 * u * m + m * m) / 4) n00, avg((u * v + 2 * u * n + 2 * m * v + m * n) / 4) n01, avg((v * v + 4 * v * n + n * n) / 4) n11,
+         avg((u - m) * (u - m) / 4) w00, avg((u - m) * (v - n) / 4) w01, avg((v - n) * (v - n) / 4) w11 from l where u is not null and m is not null),
+d as (select case when lam > 0 then n00 else w00 end d00, case when lam > 0 then n01 else w01 end d01, case when lam > 0 then n11 else w11 end d11 from e),
+i as (select d11 / (d00 * d11 - d01 * d01) / 2 p, -d01 / (d00 * d11 - d01 * d01) / 2 q, d00 / (d00 * d11 - d01 * d01) / 2 r from d)"""
+
+
+@register(
+    "od_trap_spring",
+    f"""{MOVES_SQL},
+s as (
+  select sum(x0 * (x0 + xp) * p + (x0 * (x1 + yp) + x1 * (x0 + xp)) * q + x1 * (x1 + yp) * r) / 2 g00,
+         sum(x0 * (sx + sxp) * p + (x0 * (sy + syp) + x1 * (sx + sxp)) * q + x1 * (sy + syp) * r) / 2 g01,
+         sum(sx * (x0 + xp) * p + (sx * (x1 + yp) + sy * (x0 + xp)) * q + sy * (x1 + yp) * r) / 2 g10,
+         sum(sx * (sx + sxp) * p + (sx * (sy + syp) + sy * (sx + sxp)) * q + sy * (sy + syp) * r) / 2 g11,
+         sum(u * x0 * p + (u * x1 + v * x0) * q + v * x1 * r) m0, sum(u * sx * p + (u * sy + v * sx) * q + v * sy * r) m1 from l, i where u is not null)
+select 'X' feature, round((m0 * g11 - m1 * g01) / (g00 * g11 - g01 * g10), 6) coefficient from s
+union all select 'spring', round((m1 * g00 - m0 * g10) / (g00 * g11 - g01 * g10), 6) from s""",
+)
+def od_trap_spring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trap and springs between all particles of a frame, fitted together."""
+    s = swarm(spark, sf_dir)
+    rows, springs, names = ia.gathered(s, {"spring": ia.separation(2)}, ia.all_pairs(s))
+    fit = Overdamped(rows, 2, names).infer_force(bases.position(2) & springs, "clean")
+    return spark.createDataFrame([(n, round(float(c), 6)) for n, c in zip(fit.basis.labels, fit.coefficients, strict=True)], "feature string, coefficient double")
+
+
+@register(
+    "od_swarm_robust",
+    f"""{MOVES_SQL},
+g as (select sum(x0 * xp * p + (x0 * yp + x1 * xp) * q + x1 * yp * r) g, sum(u * (x0 + xp) * p + (u * (x1 + yp) + v * (x0 + xp)) * q + v * (x1 + yp) * r) / 2 m from l, i where u is not null),
+t as (select sum((u * u + 4 * u * m + m * m) / 4 * p + (u * v + 2 * u * n + 2 * m * v + m * n) / 2 * q + (v * v + 4 * v * n + n * n) / 4 * r) drift from l, i where u is not null and m is not null)
+select round((m - drift) / g, 6) coefficient from g, t""",
+)
+def od_swarm_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratonovich moments less their noise-induced part, contracted over two components."""
+    fit = Overdamped(swarm(spark, sf_dir), 2).infer_force(bases.position(2), "robust")
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 6),)], "coefficient double")
+
+
 # Grid fields: 16 x 16 sites.
 
 SHAPE = [16, 16]
@@ -190,10 +239,11 @@ register("vorticity_grid", site_sql("pbc", CROSS, "0.0::double g00, round((g0 -
 )
 register(
     "biharmonic_2d",
-    site_sql(
-        "pbc", [*CROSS, (1, 1), (1, -1), (-1, 1), (-1, -1), (2, 0), (-2, 0), (0, 2), (0, -2)],
-        "round(20 * x0 - 8 * (f0 + f1 + f2 + f3) + 2 * (f4 + f5 + f6 + f7) + f8 + f9 + f10 + f11, 6) bih",
-    ),
+    f"""with {GRID_SQL},
+k as (select unnest([0, 1, -1, 0, 0, 1, 1, -1, -1, 2, -2, 0, 0]) a, unnest([0, 0, 0, 1, -1, 1, -1, 1, -1, 0, 0, 2, -2]) b, unnest([20, -8, -8, -8, -8, 2, 2, 2, 2, 1, 1, 1, 1]) w)
+select o.time_idx, o.c0, o.c1, round(sum(w * n.x0), 6) bih
+from grid o cross join k join grid n on n.time_idx = o.time_idx and n.c0 = (o.c0 + a + 16) % 16 and n.c1 = (o.c1 + b + 16) % 16
+group by o.time_idx, o.c0, o.c1 having count(*) = 13""",
 )(_grid(lambda: {"bih": [("x0", gr.biharmonic(2))]}))
 
 
@@ -256,9 +306,23 @@ def layout_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.evaluate(grid(spark, sf_dir)).select("time_idx", "c0", "c1", *[rounded(n, F.col(n)) for n in names])
 
 
-@register("degrade_spatial")
+@register(
+    "degrade_spatial",
+    f"""with {GRID_SQL},
+s as (select time_idx, a c0, b c1 from (select distinct time_idx from grid), range(16) x(a), range(16) y(b)),
+m as (
+  select s.time_idx, s.c0, s.c1, avg(n.x0) x0
+  from s cross join (select unnest([-1, 0, 1]) a) cross join (select unnest([-1, 0, 1]) b)
+  join grid n on n.time_idx = s.time_idx and n.c0 = (s.c0 + a + 16) % 16 and n.c1 = (s.c1 + b + 16) % 16 group by all),
+k as (select time_idx, (c0 // 2)::bigint c0, (c1 // 2)::bigint c1, avg(x0) x0 from m group by time_idx, c0 // 2, c1 // 2 having count(*) >= 2),
+l as (
+  select time_idx, c0, c1, x0 + 0.1 * {dg.normal_sql("'5:0:0:' || time_idx || ':' || c0 || ':' || c1")} x0, count(*) over () n,
+         row_number() over (order by md5('5:0:' || time_idx || ':' || c0 || ':' || c1)) place from k)
+select time_idx, c0, c1, round(x0, 6) x0 from l where place <= round_even(n * 0.9::double, 0)""",
+)
 def degrade_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blur, blocks, noise and an exact share of lost sites."""
     from driftfield.operators.layout import degrade_spatial as degrade
 
     d = degrade(grid(spark, sf_dir), ["x0"], SHAPE, blur=1, factor=2, noise=0.1, loss=0.1, seed=5)
-    return d.groupBy("time_idx").agg(F.count("*").alias("n"), F.avg("x0").alias("mean"))
+    return d.select("time_idx", "c0", "c1", rounded("x0", F.col("x0")))

@@ -123,14 +123,23 @@ def od_auto_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(model.noise[0, 0]), 5), round(float(model.diffusion[0, 0]), 5))], "lam double, diffusion double")
 
 
+def affine() -> bases.Basis:
+    """1 and x0 / 100."""
+    return (bases.ones(1) & bases.coordinate(1, 0) * 0.01).vectorize()
+
+
+def model_of(spark: SparkSession, sf_dir: str, method: str = "noisy") -> Overdamped:
+    model = Overdamped(events(spark, sf_dir), 1)
+    model.diffusion_constants(method)
+    return model
+
+
 def _gram(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = rows(spark, sf_dir)
-        features = [F.lit(1.0), F.col("x0") / 100]
-        after = [F.lit(1.0), at("x0", 1) / 100]
-        right = {"rectangle": [features], "shift": [after], "trapeze": [features, after]}[mode]
-        terms = {f"g{i}{j}": sum((features[i] * b[j] for b in right), F.lit(0.0)) / len(right) for i in range(2) for j in range(2)}
-        return integrate(s, terms, dict.fromkeys(terms, ["X"]), mean=True).select(*[rounded(k, F.col(k), 7) for k in terms])
+        """The library's Gram matrix, in units of the noise, per unit of time."""
+        model = model_of(spark, sf_dir)
+        g = model.force_gram(affine(), mode) * 2 * model.diffusion[0, 0] / model.tau
+        return spark.createDataFrame([tuple(round(float(v), 7) for v in g.ravel())], "g00 double, g01 double, g10 double, g11 double")
 
     return query
 
@@ -146,14 +155,11 @@ for _mode in ("rectangle", "shift", "trapeze"):
 
 def _moments(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = rows(spark, sf_dir)
-        u, x = difference("x0", 0), {"ito": F.col("x0"), "ito_shift": at("x0", -1), "strato": (F.col("x0") + at("x0", 1)) / 2}[mode] / 100
-        needs = ["dX", "X_minus"] if mode == "ito_shift" else ["dX"]
-        found = integrate(s, {"m0": u, "m1": u * x, "n": F.lit(1.0)}, dict.fromkeys(("m0", "m1", "n"), needs), weight_by_dt=False)
-        if mode == "strato":
-            d = integrate(s, {"drift": est.tensor("od_noisy", 0, 0) / 100}, {"drift": est.NEEDS["od_noisy"]})
-            found = found.join(F.broadcast(d)).withColumn("m1", F.col("m1") - F.col("drift"))
-        return found.select(*[rounded(k, F.col(k) / F.col("n"), 7) for k in ("m0", "m1")])
+        """The library's moments, in units of the noise, per row."""
+        model = model_of(spark, sf_dir)
+        m = model.force_moments(affine(), mode) * 2 * model.diffusion[0, 0]
+        n = model.rows.where(mask(["dX", "X_minus"] if mode == "ito_shift" else ["dX"])).count()
+        return spark.createDataFrame([tuple(round(float(v / n), 7) for v in m)], "m0 double, m1 double")
 
     return query
 
@@ -221,6 +227,25 @@ def od_infer_force_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, round(float(c), 5)) for n, c in zip(fit.basis.labels, fit.coefficients, strict=True)], "feature string, coefficient double")
 
 
+def _preset(name: str, sums: tuple[str, str, str, str], stratonovich: bool):
+    drift = "sum(case when m is not null then dt * (u * u + 4 * u * m + m * m) / 4 / ((dt + dtm) / 2) end)"
+    m1 = f"sum(u * (x0 + xp) / 2) - {drift}" if stratonovich else "sum(u * x0)"
+    sql = STREAMS_SQL + f""",
+s as (select {", ".join(f"sum(dt * {x}) g{k}" for x, k in zip(sums, ("00", "01", "10", "11"), strict=True))}, sum(u) m0, {m1} m1 from l where u is not null)
+select round((m0 * g11 - m1 * g01) / (g00 * g11 - g01 * g10), 5) c0, round((m1 * g00 - m0 * g10) / (g00 * g11 - g01 * g10), 6) c1 from s"""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fit = Overdamped(events(spark, sf_dir), 1).infer_force(bases.monomials_up_to(1, 1, "vector"), name)
+        return spark.createDataFrame([(round(float(fit.coefficients[0]), 5), round(float(fit.coefficients[1]), 6))], "c0 double, c1 double")
+
+    register(f"od_infer_force_{name}", sql)(query)
+
+
+_preset("robust", ("1", "xp", "x0", "x0 * xp"), True)
+_preset("km", ("1", "x0", "x0", "x0 * x0"), False)
+_preset("legacy", ("1", "x0", "x0", "x0 * x0"), True)
+
+
 @register(
     "od_diffusion_linear_p2",
     STREAMS_SQL + """,
@@ -242,14 +267,9 @@ select round(sqrt(2 * d * g11 / det), 6) e0, round(sqrt(2 * d * g00 / det), 6) e
 )
 def force_error_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard errors from the inverse Gram matrix, the information, and the error it predicts."""
-    s = rows(spark, sf_dir)
-    d = integrate(s, {"d": est.tensor("od_noisy", 0, 0)}, {"d": est.NEEDS["od_noisy"]}, weight_by_dt=False, mean=True)
-    f = fitted(s, []).join(F.broadcast(d))
-    info = (F.col("c0") * F.col("m0") + F.col("c1") * F.col("m1")) / (4 * F.col("d"))
-    return f.select(
-        rounded("e0", F.sqrt(2 * F.col("d") * F.col("g11") / F.col("det"))), rounded("e1", F.sqrt(2 * F.col("d") * F.col("g00") / F.col("det"))),
-        rounded("information", info), rounded("nmse", 1 / info),
-    )
+    fit = model_of(spark, sf_dir).infer_force(affine(), "km")
+    values = (*fit.stderr, fit.information, fit.meta["nmse_pred"])
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in values)], "e0 double, e1 double, information double, nmse double")
 
 
 @register(
@@ -275,14 +295,9 @@ from traj, f, w""",
 )
 def predict_ci_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted force and its lower confidence bound at every event."""
-    s = rows(spark, sf_dir)
-    d = integrate(s, {"d": est.tensor("od_noisy", 0, 0)}, {"d": est.NEEDS["od_noisy"]}, weight_by_dt=False, mean=True)
-    f = fitted(s, []).join(F.broadcast(d)).select("c0", "c1", "g00", "g01", "g11", "det", "d")
-    p = events(spark, sf_dir).join(F.broadcast(f))
-    x = F.col("x0") / 100
-    var = 2 * F.col("d") / F.col("det") * (F.col("g11") - 2 * F.col("g01") * x + F.col("g00") * x * x)
-    force = F.col("c0") + F.col("c1") * x
-    return p.select("dataset_id", "time_idx", rounded("f0", force), rounded("f0_low", force - norm_ppf(0.975) * F.sqrt(var)))
+    fit = model_of(spark, sf_dir).infer_force(affine(), "km")
+    p = fit.predict_ci(events(spark, sf_dir))
+    return p.select("dataset_id", "time_idx", rounded("f0", F.col("f0")), rounded("f0_low", F.col("f0_low")))
 
 
 @register(
@@ -333,14 +348,8 @@ select round((m0 * m0 * g11 - 2 * m0 * m1 * g01 + m1 * m1 * g00) / (g00 * g11 -
 )
 def entropy_moments_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy production of the current in two features, with its bias taken off."""
-    s = rows(spark, sf_dir)
-    x, u = F.col("x0") / 100, difference("x0", 0)
-    terms = {"m0": u, "m1": u * (F.col("x0") + at("x0", 1)) / 200, "g00": est.step(), "g01": est.step() * x, "g11": est.step() * x * x}
-    a = integrate(s, terms, dict.fromkeys(terms, ["dX"]), weight_by_dt=False)
-    d = integrate(s, {"d": est.tensor("od_noisy", 0, 0)}, {"d": est.NEEDS["od_noisy"]}, weight_by_dt=False, mean=True)
-    m0, m1, g00, g01, g11 = (F.col(k) for k in terms)
-    total = (m0 * m0 * g11 - 2 * m0 * m1 * g01 + m1 * m1 * g00) / (g00 * g11 - g01 * g01) / F.col("d")
-    return a.join(F.broadcast(d)).select(rounded("delta_s", total), rounded("debiased", total - 4))
+    e = model_of(spark, sf_dir).entropy_production(affine(), "rectangle")
+    return spark.createDataFrame([(round(float(e["delta_s"]), 6), round(float(e["debiased"]), 6))], "delta_s double, debiased double")
 
 
 @register(
@@ -354,7 +363,7 @@ def observables_information_entropy(spark: SparkSession, sf_dir: str) -> DataFra
 
     s = events(spark, sf_dir)
     n = integrate(rows(spark, sf_dir), {"n": F.lit(1.0)}, {"n": ["dX"]}, weight_by_dt=False)
-    o = observables(s, [50.0 - Var("x0")], [[100.0]]).join(F.broadcast(n))
+    o = observables(s, [50.0 - Var("x0")], [[100.0]]).crossJoin(F.broadcast(n))
     return o.select(rounded("information", F.col("information") / F.col("n")), rounded("entropy", F.col("entropy") / F.col("n")), F.col("n").cast("long").alias("n"))
 
 
@@ -367,9 +376,8 @@ select round(avg((c0 + c1 * x0 / 100 - (50 - x0)) * (c0 + c1 * x0 / 100 - (50 -
 )
 def nmse_compare_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of the fitted force against a given one, in units of the noise."""
-    s = rows(spark, sf_dir)
-    d = integrate(s, {"d": est.tensor("od_noisy", 0, 0)}, {"d": est.NEEDS["od_noisy"]}, weight_by_dt=False, mean=True)
-    f = fitted(s, []).join(F.broadcast(d)).select("c0", "c1", "d")
-    force = F.col("c0") + F.col("c1") * F.col("x0") / 100
-    e = force - (50 - F.col("x0"))
-    return s.where(mask(["X"])).join(F.broadcast(f)).agg(rounded("mse", F.avg(e * e / (2 * F.col("d")))), rounded("norm", F.avg(force * force / (2 * F.col("d")))))
+    from driftfield.functions.expr import Var
+
+    model = model_of(spark, sf_dir)
+    found = model.compare_to_exact(model.infer_force(affine(), "km"), [50.0 - Var("x0")])
+    return spark.createDataFrame([(round(float(found["mse"]), 6), round(float(found["norm"]), 6))], "mse double, norm double")

@@ -44,21 +44,43 @@ def degrade_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("dataset_id").agg(F.count("*").alias("n"), rounded("mean", F.sum("x0") / F.count("*")))
 
 
-@register("degrade_loss", f"with {EVENTS_SQL} select dataset_id, round_even(count(*) * 0.75, 0)::bigint n from traj group by dataset_id")
+@register(
+    "degrade_loss",
+    f"""with {EVENTS_SQL},
+l as (select *, row_number() over (partition by dataset_id order by md5('1:' || dataset_id || ':0:' || time_idx)) place, count(*) over (partition by dataset_id) n from traj)
+select dataset_id, count(*)::bigint n, round(sum(x0) / count(*), 6) mean from l where place <= round_even(n * 0.75::double, 0) group by dataset_id""",
+)
 def degrade_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows are left after a quarter is lost: exact per dataset."""
-    return dg.data_loss(events(spark, sf_dir), 0.25, seed=1).groupBy("dataset_id").agg(F.count("*").alias("n"))
+    """What is left after a quarter is lost: an exact share of each dataset."""
+    return dg.data_loss(events(spark, sf_dir), 0.25, seed=1).groupBy("dataset_id").agg(F.count("*").alias("n"), rounded("mean", F.sum("x0") / F.count("*")))
 
 
-@register("degrade_noise")
+@register("degrade_noise", f"with {EVENTS_SQL} select dataset_id, time_idx, round(x0 + 2 * {dg.normal_sql("'3:0:' || dataset_id || ':0:' || time_idx")}, 6) x0 from traj")
 def degrade_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dg.add_noise(events(spark, sf_dir), 2.0, seed=3).groupBy("dataset_id").agg(F.avg("x0").alias("mean"))
+    return dg.add_noise(events(spark, sf_dir), 2.0, seed=3).select("dataset_id", "time_idx", rounded("x0", F.col("x0")))
+
+
+@register(
+    "degrade_all",
+    f"""with {EVENTS_SQL},
+w as (select *, max(time_idx) over (partition by dataset_id) + 1 frames, avg(x0) over b x, avg(t) over b tt, count(*) over b n
+      from traj window b as (partition by dataset_id order by time_idx rows between current row and 1 following)),
+d as (select dataset_id, (time_idx // 2)::bigint time_idx, x, tt t from w where n = 2 and time_idx % 2 = 0 and time_idx < frames - 1),
+e as (select dataset_id, time_idx, x + 3 * {dg.normal_sql("'7:0:' || dataset_id || ':0:' || time_idx")} x0, t from d),
+r as (select * from e where sqrt(x0 * x0) <= 80),
+l as (select *, row_number() over (partition by dataset_id order by md5('7:' || dataset_id || ':0:' || time_idx)) place, count(*) over (partition by dataset_id) n from r)
+select dataset_id, time_idx, round(x0, 6) x0, round(t, 6) t from l where place <= round_even(n * 0.9::double, 0)""",
+)
+def degrade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five degradations in their order."""
+    d = dg.degrade(events(spark, sf_dir), every=2, blur=1, noise=3.0, radius=80.0, loss=0.1, seed=7)
+    return d.select("dataset_id", "time_idx", rounded("x0", F.col("x0")), rounded("t", F.col("t")))
 
 
 @register(
     "split_time",
     f"""with {EVENTS_SQL},
-f as (select *, greatest(2, least(round_even((max(time_idx) over (partition by dataset_id) + 1) * 0.7, 0), max(time_idx) over (partition by dataset_id) + 1 - 1 - 2)) k from traj)
+f as (select *, greatest(2, least(round_even((max(time_idx) over (partition by dataset_id) + 1) * 0.7::double, 0), max(time_idx) over (partition by dataset_id) + 1 - 1 - 2)) k from traj)
 select dataset_id, case when time_idx < k then 'fit' else 'test' end part, count(*)::bigint n, round(sum(x0) / count(*), 6) mean
 from f where time_idx < k or time_idx >= k + 1 group by all""",
 )

@@ -170,6 +170,28 @@ def ud_fit_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(c), 6) for c in fit.coefficients)], "cx double, cv double")
 
 
+def _preset(name: str, gram: tuple[str, str, str, str], need: str, mx: str, mv: str, drift: str):
+    """``gram`` has xx, xv, vx, vv: the second factor's feature first."""
+    sql = EVEN_SQL + f""",
+s as (select {", ".join(f"sum({x}) {k}" for x, k in zip(gram, ("gxx", "gxv", "gvx", "gvv"), strict=True))} from l where {need}),
+k as (select sum(case when u is not null and m is not null then {mx} end) mx, sum(case when u is not null and m is not null then {mv} end) - {drift} mv from l)
+select round((mx * gvv - mv * gxv) / (gxx * gvv - gxv * gvx), 6) cx, round((mv * gxx - mx * gvx) / (gxx * gvv - gxv * gvx), 6) cv from s, k"""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fit = Underdamped(even(spark, sf_dir), 1).infer_force(bases.linear(1, with_v=True).vectorize(), name)
+        return spark.createDataFrame([tuple(round(float(c), 6) for c in fit.coefficients)], "cx double, cv double")
+
+    register(f"ud_infer_force_{name.replace('-', '_')}", sql)(query)
+
+
+_TRAPEZE = ("x0 * (x0 + xm) / 2", "u * (x0 + xm) / 2", "x0 * (u + m) / 2", "u * (u + m) / 2")
+_RECTANGLE = ("x0 * x0", "x0 * u", "x0 * u", "u * u")
+_SYMMETRIC = ("(u - m) * (xm + x0 + xp) / 3", "(u - m) * (u + m) / 2")
+_preset("clean", _TRAPEZE, "u is not null and m is not null", *_SYMMETRIC, "sum(case when m is not null and p is not null then (2 * u - m - p) * (2 * u - m - p) / 2 end)")
+_preset("legacy-noisy", _RECTANGLE, "u is not null", *_SYMMETRIC, "sum(case when m is not null and p is not null then (-u * u + m * m + p * p - 3 * p * m + u * p + u * m) * 3 / 11 end)")
+_preset("legacy-clean", _RECTANGLE, "u is not null", "(u - m) * x0", "(u - m) * m", "sum(case when u is not null and m is not null then (u - m) * (u - m) * 0.25 end)")
+
+
 @register(
     "ud_diffusion_linear",
     EVEN_SQL + """

@@ -11,10 +11,13 @@ import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ("dataset_id", "particle_id")
+#: The names by which roles are found, in order.
 PARTICLE_NAMES = ("particle_id", "particle", "track_id", "track", "traj_id")
 TIME_NAMES = ("time_step", "frame", "time", "t")
 #: Extras by prefix: per dataset, per time, per particle, per both.
@@ -61,6 +64,33 @@ def from_dataframe(
     return out
 
 
+def from_arrays(spark: SparkSession, x, t=None, dt: float = 1.0, mask=None, dataset: int = 0) -> DataFrame:
+    """The canonical table of a dense array (frame, particle, axis) or (frame, axis), with times, or a step, and a mask of what is there.
+
+    Rows that the mask leaves out, or that have a NaN, do not exist.
+    """
+    x = np.asarray(x, float)
+    x = x[:, None, :] if x.ndim == 2 else x
+    frames, particles, dim = x.shape
+    t = np.arange(frames) * dt if t is None else np.asarray(t, float)
+    there = ~np.isnan(x).any(axis=2) & (True if mask is None else np.asarray(mask, bool).reshape(frames, particles))
+    frame, particle = np.nonzero(there)
+    table = {"dataset_id": pa.array(np.full(len(frame), dataset, np.int32)), "particle_id": pa.array(particle), "time_idx": pa.array(frame), "t": pa.array(t[frame])}
+    return spark.createDataFrame(pa.table(table | {f"x{i}": pa.array(x[frame, particle, i]) for i in range(dim)}))
+
+
+def to_arrays(df: DataFrame, dataset: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, t, mask) of one dataset, dense over its frames and particles; what is not there is NaN. For what fits the driver."""
+    names = state_columns(df)
+    found = df.where(F.col("dataset_id") == dataset).select("time_idx", "particle_id", "t", *names).toPandas()
+    particles, at = np.unique(found["particle_id"], return_inverse=True)
+    frames = int(found["time_idx"].max()) + 1 if len(found) else 0
+    x, t = np.full((frames, len(particles), len(names)), np.nan), np.full(frames, np.nan)
+    k = found["time_idx"].to_numpy(int)
+    x[k, at], t[k] = found[names].to_numpy(), found["t"]
+    return x, t, ~np.isnan(x).any(axis=2)
+
+
 def extras_by_prefix(df: DataFrame) -> DataFrame:
     """Average prefixed extras over what their prefix says: G_ a dataset, TG_ a time, P_ a particle, TP_ both. NaN and null don't count."""
     for prefix, keys in PREFIXES.items():
