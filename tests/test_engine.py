@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftfield.functions import basis as bases
-from driftfield.functions.expr import Var
+from driftfield.functions.expr import Var, exp, tanh
 from driftfield.operators import diagnostics as dg
-from driftfield.operators import parametric, simulate
+from driftfield.operators import interactions as ia
+from driftfield.operators import parametric, reduce, simulate, sparse
 from driftfield.operators.linear import Fit, Overdamped, Underdamped
 from driftfield.operators.reduce import dataset_index, dataset_weights, gram
 from driftfield.operators.streams import with_streams
@@ -71,7 +72,7 @@ def test_innovations_against_a_dense_solve(spark):
     rng = np.random.default_rng(0)
     r, dt, a, lam = rng.normal(size=6), np.full(6, 0.5), 2.0, 1.5
     rows = spark.createDataFrame([(0, 0, k if k < 4 else k + 3, float(dt[k]), float(r[k])) for k in range(6)], "dataset_id int, particle_id long, time_idx long, dt double, r0 double")
-    z = dg.innovations(rows, np.array([[a]]), np.array([[lam]]), 1).toPandas().sort_values("time_idx")
+    z = dg.innovations(rows, np.array([[a]]), np.array([[lam]]), 1, F.col("dt"), F.lit(2.0), F.lit(-1.0)).toPandas().sort_values("time_idx")
     cov = np.diag(dt * a + 2 * lam) - lam * (np.eye(6, k=1) + np.eye(6, k=-1))
     cov[3, 4] = cov[4, 3] = 0
     assert np.isclose((z["z0"] ** 2).sum(), r @ np.linalg.solve(cov, r))
@@ -132,3 +133,77 @@ def test_streaming(spark, tmp_path):
     x = [(t * 7) % 5 for t in range(30)]
     want = np.mean([-(x[t + 1] - x[t]) * (x[t] - x[t - 1]) for t in range(1, 29)])
     assert np.isclose({r["dataset_id"]: r["noise"] for r in got}[0], want)
+
+
+def test_trap_and_springs_are_told_apart(spark):
+    """Interacting particles: simulated with a trap, springs and a short repulsion, fitted by features of pairs."""
+    spring, push = [0.3 * d for d in ia.separation(2)], ia.central(2, lambda r: -2.0 * exp(-1.0 * r))
+    df = simulate.simulate(
+        spark, [-1.0 * Var("x0"), -1.0 * Var("x1")], np.eye(2), replicas=12, frames=250, dt=0.01, particles=4, pair=[a + b for a, b in zip(spring, push, strict=True)],
+        spread=1.0,
+    )
+    rows, features, names = ia.gathered(df, {"spring": ia.separation(2), "push": ia.central(2, lambda r: exp(-1.0 * r))}, ia.all_pairs(df))
+    for preset in ("clean", "legacy"):
+        fit = Overdamped(rows, 2, names).infer_force(bases.position(2) & features, preset)
+        error = np.abs(fit.coefficients - [-1.0, 0.3, -2.0])
+        assert (error < 4 * fit.stderr + 0.1).all(), (preset, fit.coefficients)
+
+
+def test_jacobian_of_pair_features(spark):
+    rng = np.random.default_rng(3)
+    places = rng.normal(size=(5, 2))
+    table = lambda x: spark.createDataFrame([(0, 0, i, 0.0, float(a), float(b)) for i, (a, b) in enumerate(x)], "dataset_id long, time_idx long, particle_id long, t double, x0 double, x1 double")
+    kernel = {"k": ia.central(2, lambda r: exp(-1.0 * r))}
+
+    def values(x):
+        df = table(x)
+        return ia.gathered(df, kernel, ia.all_pairs(df))[0].orderBy("particle_id").toPandas()
+
+    found, h = values(places), 1e-5
+    for axis in range(2):
+        moved = places.copy()
+        moved[2, axis] += h
+        other = values(moved)
+        for i in range(2):
+            assert np.isclose((other[f"pair0_{i}"][2] - found[f"pair0_{i}"][2]) / h, found[f"pair0_{i}_d{axis}"][2], atol=1e-3)
+
+
+def test_state_dependent_diffusion(spark):
+    df = simulate.simulate(spark, [-1.0 * Var("x0")], np.array([[1.0 + 0.5 * Var("x0") ** 2]], object), replicas=24, frames=500, dt=0.01)
+    fit = Overdamped(df, 1).infer_diffusion(bases.monomials(1, [0, 2]).tensorize(), "weak")
+    assert np.allclose(fit.coefficients, [1.0, 0.5], atol=0.12)
+
+
+def test_long_tracks_are_cut_to_blocks(trap):
+    one, cut = (Overdamped(trap, 2, block=b).infer_force(bases.monomials_up_to(2, 1, "vector"), "robust") for b in (1 << 16, 7))
+    assert np.allclose(one.coefficients, cut.coefficients) and np.allclose(one.gram, cut.gram)
+
+
+def test_null_and_nan_features_on_both_paths(spark, monkeypatch):
+    """A null leaves out its own sums; NaN and infinity go through, however wide the dictionary is."""
+    rows = [(1.0, 2.0), (None, 3.0), (4.0, float("inf")), (5.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    columns = [F.col("a"), F.col("b"), F.lit(1.0)]
+    narrow = reduce.gram(df, columns, columns, F.lit(1.0))
+    monkeypatch.setattr(reduce, "SUM_COLUMNS", 0)
+    assert np.array_equal(narrow, reduce.gram(df, columns, columns, F.lit(1.0)), equal_nan=True)
+    assert narrow[0, 0] == 42 and np.isinf(narrow[0, 1]) and narrow[2, 2] == 4
+    broken = reduce.gram(df.withColumn("b", F.lit(float("nan"))), columns, columns, F.lit(1.0))
+    assert np.isnan(broken[0, 1]) and broken[0, 0] == 42
+
+
+def test_thresholds_and_penalties_act_on_raw_coefficients():
+    """A feature of large size and small coefficient goes first, unless features are scaled."""
+    g, m = np.diag([1e4, 1.0, 1.0]), np.array([1e3, 1.0, 0.5])
+    assert sparse.search(g, m, "stlsq", thresholds=[0.2]).support[2] == (1, 2)
+    assert 2 not in sparse.search(g, m, "stlsq", thresholds=[0.2], scaled=True).support
+    assert sparse.search(g, m, "stlsq", thresholds=[0.6], mode="absolute").support[1] == (1,)
+    # Raw penalties: the largest moment enters first; of the scaled, that of the largest information.
+    assert sparse.search(g, m, "lasso", penalties=[10.0]).support[1] == (0,)
+
+
+def test_likelihood_fit_recovers_a_saturating_force(spark):
+    force = [Var("a") * -1.0 * tanh(Var("x0") * Var("b"))]
+    df = simulate.simulate(spark, [e.bind({"a": 2.0, "b": 1.5}) for e in force], np.eye(1) * 0.5, replicas=8, frames=200, dt=0.05)
+    fit = parametric.infer(df, force, {"a": 1.0, "b": 1.0}, rounds=8)
+    assert abs(fit.theta["a"] * fit.theta["b"] - 3.0) < 0.8 and abs(fit.diffusion - 0.5) < 0.05

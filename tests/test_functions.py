@@ -95,3 +95,31 @@ def test_flows():
     assert np.allclose(rk4(decay, np.array([[1.0]]), 1.0, 20), math.exp(-1), atol=1e-7)
     assert np.allclose(euler(decay, np.array([[1.0]]), 1.0, 4000), math.exp(-1), atol=1e-3)
     assert abs(conserved_noise((8, 8), np.random.default_rng(0)).sum()) < 1e-9
+
+
+def test_parameters_of_datasets_and_their_derivatives():
+    from driftfield.functions.expr import as_expr, sin
+
+    b = bases.per_dataset_scalar(1, "k", 3)
+    env = {"dataset_id": np.array([0.0, 1.0, 2.0]), "k0": 5.0, "k1": 6.0, "k2": 7.0}
+    assert np.allclose(b.numpy(env)[:, 0], [5, 6, 7])
+    assert np.allclose(b.specialize(1).numpy({"x0": np.zeros(2), "k0": 5.0, "k1": 6.0, "k2": 7.0})[:, 0], 6)
+    field = [Var("a") * sin(Var("x0") * Var("b"))]
+    d = bases.d_theta(field, ["a", "b"]).numpy({"x0": np.array([0.3, 1.0]), "a": 2.0, "b": 1.5})
+    x = np.array([0.3, 1.0])
+    assert np.allclose(d[:, 0, 0], np.sin(1.5 * x)) and np.allclose(d[:, 1, 0], 2 * x * np.cos(1.5 * x))
+    assert as_expr(0.0).diff("a") is not None
+
+
+def test_arrays_round_trip(spark):
+    from driftfield.sources.tables import from_arrays, to_arrays
+
+    x = np.random.default_rng(0).normal(size=(6, 3, 2))
+    x[2, 1] = np.nan
+    mask = np.ones((6, 3), bool)
+    mask[4, 0] = False
+    df = from_arrays(spark, x, dt=0.5, mask=mask, dataset=4)
+    back, t, there = to_arrays(df, 4)
+    want = mask & ~np.isnan(x).any(axis=2)
+    assert (there == want).all() and np.allclose(back[want], x[want]) and np.allclose(t, np.arange(6) * 0.5)
+    assert df.count() == 16 and from_arrays(spark, x[:, 0]).columns == ["dataset_id", "particle_id", "time_idx", "t", "x0", "x1"]
