@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import tempfile
@@ -59,13 +60,31 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    with small_batches(spark):
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     free(spark)
     return out
 
 
+#: Rows and bytes of the Arrow batches that go to Python while a table is written.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound Arrow batches while something runs; afterwards the session is as it was."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def free(spark: SparkSession) -> None:
     """Let go of what finished steps hold on disk: Spark drops shuffle files once the driver has collected its garbage."""
     if time.monotonic() - _freed[0] >= FREE_EVERY:
@@ -95,7 +114,7 @@ def drop_tables() -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows each, so that what is made of one stays small. Spark bounds what it sends by bytes."""
+    """Batches of a few rows each, so that what is made of one stays small; Spark bounds what it sends by bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -12,30 +12,48 @@ from driftfield.llm.seeds import BASES, BYTES, U64, Rolling
 WINDOW, EVERY = 8, 16
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """Ranks from 1 of numbers; equal numbers share one."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks from 1 of numbers, as 1 + how many are smaller, so that equal numbers share one; and which of them are not alone."""
     order = np.argsort(key)
     ordered = key[order]
     new = np.ones(len(order), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(order)))
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    out[order] = np.repeat(begin + 1, sizes)
+    return out, order[np.repeat(sizes > 1, sizes)]
 
 
-def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, width: int = 1) -> np.ndarray:
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, width: int = 1, most: int | None = None) -> np.ndarray:
     """Ranks of all suffixes of strings laid end to end, by prefix doubling.
 
     ``symbols`` order the first ``width`` symbols of each suffix, ``ends`` has for
     each place where its string ends. Equal suffixes share a rank; a proper
-    prefix comes first. Sorted by rank, the places are the suffix array.
+    prefix comes first. Sorted by rank, the places are the suffix array. With
+    ``most``, suffixes that agree in so many symbols may share a rank.
+
+    A rank is 1 + how many suffixes are smaller by what has been read so far. It
+    is final once no other suffix shares it, so each round sorts only the rest.
     """
-    ranks = _dense(symbols)
+    ranks, tied = _ranked(symbols)
     longest = int((ends - np.arange(len(ends))).max(initial=0))
-    while width < longest:
-        following = np.arange(len(ranks)) + width
-        inside = following < ends
-        ranks = _dense(ranks << 32 | np.where(inside, ranks[np.where(inside, following, 0)], 0))
+    while width < min(longest, longest if most is None else most) and len(tied):
+        following = tied + width
+        inside = following < ends[tied]
+        after = np.where(inside, ranks[np.where(inside, following, 0)], 0)
+        order = np.argsort(ranks[tied] << 32 | after)
+        tied, after = tied[order], after[order]
+        group = ranks[tied]
+        first = np.ones(len(tied), bool)  # of those that shared a rank
+        first[1:] = group[1:] != group[:-1]
+        new = first.copy()
+        new[1:] |= after[1:] != after[:-1]
+        place = np.arange(len(tied))
+        start = place[new][np.cumsum(new) - 1] - place[first][np.cumsum(first) - 1]
+        ranks[tied] = group + start
+        sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
+        tied = tied[np.repeat(sizes > 1, sizes)]
         width *= 2
     return ranks
 
@@ -83,11 +101,12 @@ class Parse:
         self.phrase_end = np.where(self.final, limit, following + WINDOW)
         self.phrase = np.cumsum(starts) - 1  # of each place, the last phrase that starts by it
 
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
+    def order(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Two keys for each place: by them, places stand in the order of the suffixes that start there.
 
         The first is the rank of the phrase's rest in the dictionary's suffix
-        array; the second that of the following phrases in the parse's.
+        array; the second that of the following phrases in the parse's. With
+        ``most``, suffixes that agree in so many bytes may stand in any order.
         """
         starts, ends = self.phrase_start, self.phrase_end
         content = np.rec.fromarrays([self.rolling(starts, ends), self.other(starts, ends) ^ self.final.astype(U64)])
@@ -105,11 +124,11 @@ class Parse:
         mark = source >= ends[first][entry]  # ends of phrases, in the data
         symbols = np.where(mark, 1, self.data[np.where(mark, 0, source)].astype(np.int64) + 2)
         ends = (base + size)[entry]
-        ranks = suffix_ranks(packed(symbols, ends), ends, 7)
+        ranks = suffix_ranks(packed(symbols, ends), ends, 7, most)
         # The parse: phrases by rank in the dictionary, text by text.
         names = ranks[base][which]
         last = np.searchsorted(starts, self.end[starts])  # where the next text's phrases start
-        parse = suffix_ranks(names, last)
+        parse = suffix_ranks(names, last, 1, most)
         # A place whose rest of the phrase is within the closing window belongs to the next phrase.
         at = np.arange(len(self.data))
         mine = self.phrase
@@ -118,19 +137,33 @@ class Parse:
         return rest, after
 
 
+def repeats_before(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether each place but the first of ``at`` has ``length`` bytes in common with the one ahead of it, read 8 at a time."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()  # the 8 bytes from each place on
+    same = np.arange(1, len(at))
+    for k in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
+        a, b = at[same - 1] + k, at[same] + k
+        same = same[words[a] == words[b] if length >= 8 else data[a] == data[b]]
+    out = np.zeros(len(at), bool)
+    out[same] = True
+    return out
+
+
 def earlier_runs(texts: Sequence[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of each run of ``length`` bytes that also starts at a smaller place.
 
-    ``places`` has a sortable number for each text's first byte; byte i stands i later.
+    ``places`` has a sortable number for each text's first byte; byte i stands i
+    later. In the suffix order equal runs are neighbours: those with at least
+    ``length`` bytes in common with the suffix ahead of them.
     """
     parse = Parse(texts)
     at = np.flatnonzero(np.arange(len(parse.data)) + length <= parse.end)
     if not len(at):
         return at, at
-    rest, after = parse.order()
+    rest, after = parse.order(length)
     at = at[np.argsort(rest[at] << 32 | after[at])]  # the suffix array, where a run fits
-    first, second = parse.rolling(at, at + length), parse.other(at, at + length)
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    new = ~repeats_before(parse.data, at, length)
     begin = np.flatnonzero(new)
     text_start = np.append(0, parse.text_end[:-1])
     place = places[parse.text[at]] + at - text_start[parse.text[at]]

@@ -10,14 +10,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, digest, drop, small_batches, table
+from driftfield.llm.common import column, digest, drop, sliced, table
 from driftfield.llm.seeds import U64, Anchors, Shape, mix, parts
 
-#: Bits of a screen, as a power of 2: at least, and at most (128 MB). A fuller screen lets more through and stays right.
+#: Bits of a screen, as a power of 2: at least, and at most (128 MB).
 SCREEN_BITS = (20, 30)
+#: Up to this many hashes go out as a screen of at most a sixteenth of its bits; more are joined by shuffle instead.
+SCREENED = 1 << 25
 
 
 class Screen:
@@ -38,18 +40,26 @@ class Screen:
         return passed
 
 
-def screen(hashes: DataFrame) -> Screen:
-    """The bitmap of the column ``h``. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes."""
+class Listed:
+    """The hashes themselves, in place of a screen."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return np.isin(hashes, self.hashes)
+
+
+def screen(hashes: DataFrame, count: int) -> Screen:
+    """The bitmap of the column ``h`` of a written table of ``count`` rows. The driver gets its bytes, bounded by ``SCREEN_BITS``, not the hashes."""
     least, most = SCREEN_BITS
-    hashes = table(hashes, "screen")
-    bits = min(most, max(least, (32 * hashes.count()).bit_length()))
+    bits = min(most, max(least, (32 * count).bit_length()))
     taken = [F.shiftright("h", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in (1, 25)]
     rows = hashes.select(F.explode(F.array(*taken)).alias("bit"))
     segments = rows.groupBy(F.shiftright("bit", 15).alias("segment")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
     data = bytearray(1 << (bits - 3))
     for r in segments.toLocalIterator():
         data[r["segment"] << 12 : (r["segment"] + 1) << 12] = r["map"]
-    drop(hashes)
     return Screen(bits, bytes(data))
 
 
@@ -60,27 +70,28 @@ def by_text(docs: DataFrame) -> DataFrame:
 
 
 def by_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, raw): the order of documents, and texts. A null id stands as the largest; a digest orders documents that share an id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", digest("text")[0].alias("d1"), F.encode("text", "UTF-8").alias("raw"))
+    """(no_id, doc_id, d1, raw): the order of documents, and texts. Null ids come last (no_id 1); a digest orders documents that share an id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    no_id = F.col("doc_id").isNull().cast("long").alias("no_id")
+    return rows.select(no_id, F.coalesce("doc_id", F.lit(0)).alias("doc_id"), digest("text")[0].alias("d1"), F.encode("text", "UTF-8").alias("raw"))
 
 
 def keys_of(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c != "raw"]
+    return [c for c in rows.columns if c not in ("raw", "wanted")]
 
 
-def scan(rows: DataFrame, shape: Shape, found: Callable[[Anchors, dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Run ``found`` over the anchors of whole texts; it gets each document's keys by column as well."""
-    small_batches(rows.sparkSession)
+def scan(rows: DataFrame, shape: Shape, found: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Run ``found`` over the anchors of whole texts; it gets each document's keys by column, and what the column ``wanted`` lists, if there is one."""
     keys = keys_of(rows)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             own = {k: np.asarray(column(batch, k).to_numpy(zero_copy_only=False)) for k in keys}
+            wanted = Listed(column(batch, "wanted").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) if "wanted" in batch.schema.names else None
             texts = [x.as_py() for x in column(batch, "raw")]
             for part in parts(shape, texts):
-                out = found(Anchors(shape, part), own)
+                out = found(Anchors(shape, part), own, wanted)
                 if len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[c].view(np.int64) if out[c].dtype == U64 else out[c]) for c in names], names)
 
@@ -108,7 +119,7 @@ def place_hash(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
 def count_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
     """(h) of the anchors that occur at least twice, counted over all documents."""
 
-    def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def found(a: Anchors, own: dict[str, np.ndarray], _: Listed | None) -> dict[str, np.ndarray]:
         h, n = np.unique(a.h, return_counts=True)
         return {"h": h, "n": n.astype(np.int64)}
 
@@ -117,14 +128,20 @@ def count_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
 
 def occurrences(rows: DataFrame, shape: Shape) -> DataFrame:
     """(h, x, place) of the anchors that occur at least twice; x is a hash of what surrounds one."""
-    sieve = rows.sparkSession.sparkContext.broadcast(screen(count_anchors(rows, shape)))
-
-    def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        passed = sieve.value(a.h)
-        a.at, a.h = a.at[passed], a.h[passed]
+    twice = table(count_anchors(rows, shape), "anchors-twice")
+    count = twice.count()
+    sieve = rows.sparkSession.sparkContext.broadcast(screen(twice, count)) if count <= SCREENED else None
+
+    def found(a: Anchors, own: dict[str, np.ndarray], _: Listed | None) -> dict[str, np.ndarray]:
+        if sieve is not None:
+            passed = sieve.value(a.h)
+            a.at, a.h = a.at[passed], a.h[passed]
         return {"h": a.h, "x": a.context()} | places(a, own, a.at)
 
-    return table(scan(rows, shape, found, f"h long, x long{placed(rows)}"), "anchor-places")
+    all_found = scan(rows, shape, found, f"h long, x long{placed(rows)}")
+    out = table(all_found if sieve is not None else all_found.join(twice, "h", "left_semi"), "anchor-places")
+    drop(twice)
+    return out
 
 
 def contexts(found: DataFrame) -> DataFrame:
@@ -139,28 +156,40 @@ def kinds(each: DataFrame) -> DataFrame:
     return table(each.select("h", "first").join(several, "h"), "several")
 
 
-def place_screen(chosen: DataFrame) -> Screen:
-    """A screen of the places of ``chosen`` (h, first)."""
+def choose(rows: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Callable[[Listed | None], Callable[[np.ndarray], np.ndarray]]]:
+    """``rows`` to scan again, and how ``found`` gets what tells the places of ``chosen`` (h, first) by their hashes.
+
+    Up to ``SCREENED`` places go out as a screen; what slips through it are true
+    runs at true places. More are listed beside the texts that they stand in.
+    """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {k: np.asarray(column(batch, k).to_numpy()) for k in batch.schema.names}
             h = cols.pop("h")
-            yield pa.RecordBatch.from_arrays([pa.array(place_hash(cols, h).view(np.int64))], ["h"])
+            out = [column(batch, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(place_hash(cols, h).view(np.int64))], [*keys, "h"])
 
-    return screen(chosen.select("h", "first.*").mapInArrow(hashes, "h long"))
+    keys = keys_of(rows)
+    hashed = table(chosen.select("h", "first.*").mapInArrow(hashes, "".join(f"{k} long, " for k in keys) + "h long"), "chosen-places")
+    count = hashed.count()
+    if count > SCREENED:
+        listed = hashed.groupBy(*keys).agg(F.collect_list("h").alias("wanted"))  # no more than a text has anchors
+        return rows.join(listed, keys), lambda wanted: wanted
+    sieve = rows.sparkSession.sparkContext.broadcast(screen(hashed, count))
+    drop(hashed)
+    return rows, lambda _: sieve.value
 
 
 def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
     """(w1, w2, place): the runs anchored at the places of ``chosen`` (h, first), by two hashes. ``at`` is the run's start.
 
-    One place stands for each surrounding; a screen of those places picks them
-    in another scan. What slips through are true runs at true places.
+    One place stands for each surrounding; those places are picked in another scan.
     """
-    sieve = rows.sparkSession.sparkContext.broadcast(place_screen(chosen))
+    rows, sieve = choose(rows, chosen)
 
-    def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        wanted = np.flatnonzero(sieve.value(place_hash(places(a, own, a.at), a.h)))
+    def found(a: Anchors, own: dict[str, np.ndarray], listed: Listed | None) -> dict[str, np.ndarray]:
+        wanted = np.flatnonzero(sieve(listed)(place_hash(places(a, own, a.at), a.h)))
         _, starts, w1, w2 = a.runs(wanted)
         return {"w1": w1, "w2": w2} | places(a, own, starts)
 
@@ -168,16 +197,29 @@ def ambiguous(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
 
 
 def surroundings(rows: DataFrame, shape: Shape, chosen: DataFrame) -> DataFrame:
-    """(h, place, around): the bytes that runs through the anchors at the places of ``chosen`` see. ``at`` is where they start."""
-    sieve = rows.sparkSession.sparkContext.broadcast(place_screen(chosen))
+    """(h, place, anchor, around): the bytes that runs through the anchors at the places of ``chosen`` see.
 
-    def found(a: Anchors, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        wanted = sieve.value(place_hash(places(a, own, a.at), a.h))
+    ``at`` is where they start, ``anchor`` the anchor's place in them.
+    """
+    rows, sieve = choose(rows, chosen)
+
+    def found(a: Anchors, own: dict[str, np.ndarray], listed: Listed | None) -> dict[str, np.ndarray]:
+        wanted = sieve(listed)(place_hash(places(a, own, a.at), a.h))
         at = a.at[wanted]
         low = np.maximum(a.part.low[at], at - shape.reach + 1)
         high = np.minimum(a.part.high[at], at + shape.length)
         around = np.empty(len(at), object)
         around[:] = [a.part.values[i:j].tobytes() for i, j in zip(low, high, strict=True)]
-        return {"h": a.h[wanted]} | places(a, own, at) | {"at": low + a.part.shift[at], "around": around}
+        return {"h": a.h[wanted]} | places(a, own, at) | {"at": low + a.part.shift[at], "anchor": at - low, "around": around}
+
+    return scan(rows, shape, found, f"h long{placed(rows)}, anchor long, around binary")
+
 
-    return scan(rows, shape, found, f"h long{placed(rows)}, around binary")
+def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, starts, ends): overlapping or touching spans (s, e) of a document merged, so that no more than those are gathered."""
+    order = Window.partitionBy(*keys).orderBy("s")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.select(*keys, "s", "e", F.when(before.isNull() | (F.col("s") > before), F.lit(1)).otherwise(F.lit(0)).alias("new"))
+    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = marked.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.groupBy(*keys).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, digest, drop, small_batches, table
-from driftfield.llm.repeats import ambiguous, by_text, contexts, kinds, occurrences
+from driftfield.llm.common import column, digest, drop, sliced, table
+from driftfield.llm.repeats import ambiguous, by_text, contexts, islands, kinds, occurrences
 from driftfield.llm.seeds import Shape
 
 
@@ -51,12 +51,13 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     runs = table(ambiguous(rows, shape, several.select("h", "first")), "runs")
     drop(several)
     place = F.struct("d1", "d2", "at")
-    twice = runs.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("w1", "w2")
+    # Written, so that the join below deals both sides anew and Spark can split a hot run.
+    twice = table(runs.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("w1", "w2"), "runs-twice")
     some = runs.join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
     some = table(some.distinct(), "spans-runs")
     drop(runs)
-    spans = whole.unionByName(some)
-    return spans.groupBy("d1", "d2").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    drop(twice)
+    return islands(whole.unionByName(some), ["d1", "d2"])
 
 
 def dedup(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
@@ -76,10 +77,9 @@ def dedup(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", d1.alias("d1"), d2.alias("d2"), F.encode("text", "UTF-8").alias("raw"))
     joined = rows.join(spans, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select("doc_id", "raw", "starts", "ends")
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_removed, kept = [], [], []
             for raw, starts, ends in zip(*(column(batch, c) for c in ("raw", "starts", "ends")), strict=True):
                 words = (raw.as_py() or b"").split()

@@ -6,22 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.common import column, drop, small_batches, table
+from driftfield.llm.common import column, drop, sliced, table
 from driftfield.llm.prefix_free import earlier_runs
-from driftfield.llm.repeats import ambiguous, by_order, contexts, kinds, occurrences, surroundings
+from driftfield.llm.repeats import by_order, contexts, islands, kinds, occurrences, screen, surroundings
 from driftfield.llm.seeds import Shape
 from driftfield.llm.substring_dedup import merged
 
-#: Surroundings of one anchor that are parsed in one task; those of more are compared run by run.
+#: Surroundings of one anchor that are parsed in one task. An anchor with more is split by longer cores until its parts are no larger.
 GROUP = 4000
 #: Bytes of surroundings parsed at once, whole anchors at a time.
-PARSED = 1 << 20
-DOC = ["doc_id", "d1"]
+PARSED = 1 << 19
+DOC = ["no_id", "doc_id", "d1"]
 PLACE = [*DOC, "at"]
-SPAN = "doc_id long, d1 long, s long, e long"
+SPAN = "no_id long, doc_id long, d1 long, s long, e long"
 
 
 def numbered(rows: pa.Table) -> np.ndarray:
@@ -70,11 +71,91 @@ def parsed(around: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPAN)
+    return around.select("h", *PLACE, "around").repartition("h").sortWithinPartitions("h").mapInArrow(run, SPAN)
+
+
+def divided(around: DataFrame, sieve) -> DataFrame:
+    """``around`` with whether the anchor's hash is one that ``sieve`` (a broadcast screen) lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = sieve.value(np.asarray(column(batch, "h").to_numpy()).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passed)], [*batch.schema.names, "crowded"])
+
+    return around.mapInArrow(run, around.schema.simpleString()[7:-1] + ",crowded:boolean")
+
+
+NODE = "k1 long, k2 long, x long, no_id long, doc_id long, d1 long, at long, low long, high long, anchor long, around binary"
+
+
+#: Parts that a crowded node is split in.
+PARTS = 4
+
+
+def quarters(nodes: DataFrame, length: int) -> DataFrame:
+    """Each node (k1, k2, place, low, high, anchor, around) split in ``PARTS``.
+
+    A node stands for the runs that start ``low`` to ``high`` from an anchor. What
+    all of them cover is its core, what any covers its surrounding. A part of the
+    starts shares a longer core, which is the key (k1, k2) of the part; x tells
+    surroundings. A part of which no run fits the document is left out.
+    """
+    names = [c.split()[0] for c in NODE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1024):
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                around, anchor, starts = r["around"], r["anchor"], r["high"] - r["low"] + 1
+                cuts = [r["low"] + starts * i // PARTS for i in range(PARTS + 1)]
+                for low, high in zip(cuts, (c - 1 for c in cuts[1:]), strict=False):
+                    core = (anchor + high, anchor + low + length)
+                    if low > high or core[0] < 0 or core[1] > len(around):
+                        continue
+                    begin, end = max(0, anchor + low), min(len(around), anchor + high + length)
+                    key = xxhash.xxh3_128_intdigest(b"%d,%d,%d;" % (r["k1"], r["k2"], low) + around[core[0] : core[1]])
+                    part = around[begin:end]
+                    x = xxhash.xxh3_64_intdigest(part, (anchor - begin) & 0xFFFF)
+                    signed = [v - (1 << 64) if v >> 63 else v for v in (key >> 64, key & (1 << 64) - 1, x)]
+                    out.append((*signed, r["no_id"], r["doc_id"], r["d1"], r["at"] + begin, low, high, anchor - begin, part))
+            if out:
+                kinds_ = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds_, strict=True)], names)
+
+    return nodes.mapInArrow(run, NODE)
+
+
+def crowded(around: DataFrame, length: int) -> list[DataFrame]:
+    """Spans of runs that start earlier, from surroundings of anchors with very many.
+
+    A crowded anchor is split by the core that a quarter of its runs have in
+    common, and again, until at most ``GROUP`` different surroundings share a
+    core; those are parsed. Of equal surroundings of a core all but the first
+    repeat as a whole and go no further. Each step quarters the starts, so it ends
+    after a few steps at cores as long as a run, which have one surrounding.
+    """
+    spans, place = [], F.struct(*PLACE)
+    nodes = around.select(F.col("h").alias("k1"), F.lit(0).cast("long").alias("k2"), *PLACE, "low", "high", "anchor", "around")
+    while True:
+        split = table(quarters(nodes, length), "quarters")
+        rest = F.struct("low", "high", "anchor", "around")
+        each = table(split.groupBy("k1", "k2", "x").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min_by(rest, place).alias("rest")), "quarters-each")
+        late = split.select("k1", "k2", "x", *PLACE, F.octet_length("around").alias("size")).join(each.where("n > 1").select("k1", "k2", "x", "first"), ["k1", "k2", "x"])
+        spans.append(table(late.where(place != F.col("first")).select(*DOC, F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e")), "spans-late"))
+        drop(split)
+        count = table(each.groupBy("k1", "k2").agg(F.count("*").alias("kinds")).where("kinds > 1"), "quarters-kinds")
+        open_ = each.select("k1", "k2", "first.*", "rest.*").join(count, ["k1", "k2"])
+        few = open_.where(F.col("kinds") <= GROUP).select(F.xxhash64("k1", "k2").alias("h"), *PLACE, "around")
+        spans.append(table(parsed(few, length), "spans-parsed"))
+        many = count.where(F.col("kinds") > GROUP)
+        if not many.head(1):
+            drop(each)
+            return spans
+        nodes = open_.where(F.col("kinds") > GROUP).drop("kinds")
 
 
 def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, d1, starts, ends): for each document the byte spans of runs that start earlier.
+    """(no_id, doc_id, d1, starts, ends): for each document the byte spans of runs that start earlier.
 
     A run of ``length`` bytes repeats only if its anchor (the least hash of its
     grams) does. Where an anchor's whole surrounding stood before, each run
@@ -83,8 +164,7 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     anchor that stands in several, which are parsed by prefix-free parsing. The
     suffix arrays of its dictionary and its parse give the order of all suffixes,
     where equal runs are neighbours, and the earliest of each is kept. An anchor
-    with over ``GROUP`` surroundings is not gathered: its runs are compared by
-    hash, with partial minima.
+    with over ``GROUP`` surroundings is split first.
     """
     shape = Shape(length, gram, words=False)
     rows = by_order(docs)
@@ -97,38 +177,38 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     drop(found)
     several = kinds(each)
     drop(each)
-    spans.append(table(parsed(surroundings(rows, shape, several.where(f"kinds <= {GROUP}").select("h", "first")), length), "spans-parsed"))
-    many = several.where(f"kinds > {GROUP}").select("h", "first")
-    if many.head(1):
-        runs = table(ambiguous(rows, shape, many), "runs")
-        first = runs.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-        late = runs.join(first, ["w1", "w2"]).where(place != F.col("first"))
-        spans.append(table(late.select(*DOC, F.col("at").alias("s"), (F.col("at") + length).alias("e")), "spans-runs"))
-        drop(runs)
+    many = table(several.where(F.col("kinds") > GROUP).select("h").distinct(), "anchors-crowded")
+    around = table(surroundings(rows, shape, several.select("h", "first")), "surroundings")
     drop(several)
+    crowd = many.count()
+    if crowd:
+        # A screen may let small anchors through as well, wholly; splitting them is as right.
+        sieve = docs.sparkSession.sparkContext.broadcast(screen(many, crowd))
+        around = table(divided(around, sieve), "surroundings-divided")
+        spans += crowded(around.where("crowded").withColumns({"low": F.lit(1 - shape.reach).cast("long"), "high": F.lit(0).cast("long")}), length)
+        around = around.where("not crowded")
+    spans.append(table(parsed(around, length), "spans-parsed"))
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
-    return every.groupBy(*DOC).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    return islands(every, DOC)
 
 
-def dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame:
     """Remove each byte of a run of ``length`` bytes that also starts earlier, by doc_id, then place.
 
     Whole texts as UTF-8; runs never cross documents and are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed), kept (what
     is left, as bytes). A row per input row. Null text is empty; a null doc_id
-    comes last, as the largest long; documents that share a doc_id are ordered by digest of their
-    text, and rows that repeat both are one document, so neither is earlier. An
+    comes after all others; documents that share a doc_id are ordered by digest of their text, and rows that repeat both are one document, so neither is earlier. An
     empty table gives no rows. Other columns are not read.
     """
     joined = by_order(docs).join(repeated(docs, length, gram), DOC, "left")
-    joined = joined.select(F.expr(f"nullif(doc_id, {(1 << 63) - 1})").alias("doc_id"), "raw", "starts", "ends")
-    small_batches(docs.sparkSession)
+    joined = joined.select(F.when(F.col("no_id") == 0, F.col("doc_id")).alias("doc_id"), "raw", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for raw, starts, ends in zip(*(column(batch, c) for c in ("raw", "starts", "ends")), strict=True):
                 data, at, rest, count = raw.as_py() or b"", 0, [], 0
