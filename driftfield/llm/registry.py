@@ -27,6 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_media": _documents(media.query),
     "op9_simhash": _documents(simhash.query),
     "op10_mixing": _documents(mixing.query),
+    # Those columns of two operators that SQL can express.
+    "secrets_base": _documents(lambda docs: secrets.query(docs).select("doc_id", "n_assign", "n_access", "n_hex")),
+    "media_payload": _documents(lambda docs: media.query(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")),
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +38,6 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "secrets_base": secrets.ORACLE,
+    "media_payload": media.ORACLE,
 }
