@@ -10,10 +10,10 @@ from driftfield.llm.common import digest, lower_ascii, table
 #: A word once A-Z is lower-cased, and the same before that.
 LOWERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Up to this many test n-grams (of about 300 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_GRAMS = 200_000
-#: Up to this many pairs of words that begin a test window are sent as a set of hashes.
-SET_PAIRS = 20_000
+#: Test n-grams are broadcast up to so many, and so many bytes of their words; more are joined by shuffle.
+BROADCAST_GRAMS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Slots of the table of beginnings (a byte each, sent with the tasks): at least, for each test window, and at most. A fuller table lets more through to the join.
+SLOTS = (1 << 12, 64, 1 << 23)
 
 
 def words_of(text: str) -> Column:
@@ -33,54 +33,82 @@ def test_grams(benchmark: DataFrame, n: int) -> DataFrame:
     return grams.select(F.xxhash64("gram").alias("h"), F.size("gram").alias("m"), "gram", "item_id")
 
 
-def beginnings(grams: DataFrame, lengths: list[int]) -> Column:
-    """The places (from 1) of the array ``w`` where a window may begin.
+def taken(slots: int, *words: Column) -> list[Column]:
+    """The two slots of a beginning."""
+    return [F.pmod(F.xxhash64(F.lit(k), *words), F.lit(slots)).cast("int") for k in (1, 2)]
 
-    The first two words of a window, by a hash of their plain lower case (which
-    agrees wherever the contract's does), must be those of some test window. The
-    set of hashes goes out with the tasks while it is small; a larger one is left
-    to the join, and every place may begin a window.
+
+def beginnings(grams: DataFrame) -> tuple[int, bytes]:
+    """A table of the first two words of all test windows (or of the only one): "1" in the slots of their hashes.
+
+    Words are hashed in plain lower case, which agrees wherever the contract's
+    does. The driver gets slot numbers, at most as many as there are slots.
+    """
+    least, each, most = SLOTS
+    slots = min(most, max(least, 1 << (each * grams.count()).bit_length()))
+    word = lambda k: F.xxhash64(F.lower(F.get("gram", F.lit(k))))
+    both = F.when(F.col("m") == 1, F.array(*taken(slots, word(0)))).otherwise(F.array(*taken(slots, word(0), word(1))))
+    found = grams.select(F.explode(both).alias("s"))
+    parts = found.groupBy(F.shiftright("s", 12)).agg(F.collect_set("s").alias("s"))  # at most 4096 in each
+    data = bytearray(b"0" * slots)
+    for r in parts.toLocalIterator():
+        for s in r["s"]:
+            data[s] = 49
+    return slots, bytes(data)
+
+
+def candidates(w: Column, lengths: list[int], begin: tuple[int, bytes]) -> Column:
+    """(i, m, words): the windows of the words ``w`` that begin like a test window; i counts from 0.
+
+    All of it is one array expression: a word is hashed once, a place costs a
+    look or two into the table, and only places that pass get their windows'
+    words, so a text takes memory in proportion to its length.
     """
-    pair = F.xxhash64(F.lower(F.get("gram", F.lit(0))), F.lower(F.get("gram", F.lit(1))))
-    pairs = grams.select(pair.alias("k")).distinct().limit(SET_PAIRS + 1).collect()
-    places = "sequence(1, size(w))"
-    if 0 < len(pairs) <= SET_PAIRS and 1 not in lengths:
-        keys = ", ".join(f"{r['k']}L" if r["k"] > -(1 << 63) else "bigint('-9223372036854775808')" for r in pairs)
-        places = f"filter({places}, i -> xxhash64(lower(get(w, i - 1)), lower(get(w, i))) in ({keys}))"
-    return F.expr(f"case when size(w) > 0 then {places} end")
+    slots, data = begin
+
+    def known(*words: Column) -> Column:
+        first, second = (F.substring(F.lit(data), s + 1, F.lit(1)) == F.lit(b"1") for s in taken(slots, *words))
+        return first & second
+
+    hashes = F.transform(w, lambda x: F.xxhash64(F.lower(x)))
+    place = lambda ok: F.when(ok, F.lit(1)).otherwise(F.lit(0))
+    passed = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.lit(1), F.size(hashes))), lambda a, b: place(b.isNotNull() & known(a, b)))
+    if 1 in lengths:
+        passed = F.zip_with(passed, F.transform(hashes, lambda a: place(known(a))), lambda a, b: a + b)
+    places = F.filter(F.transform(passed, lambda a, k: F.when(a > 0, k).otherwise(F.lit(-1))), lambda k: k >= 0)
+    sizes = F.array(*[F.lit(m) for m in lengths]).cast("array<int>")
+    window = lambda i, m: F.struct(i.alias("i"), m.alias("m"), lowered(F.slice(w, i + 1, m)).alias("words"))
+    return F.flatten(F.transform(places, lambda i: F.transform(F.filter(sizes, lambda m: i + m <= F.size(w)), lambda m: window(i, m))))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Find the test items' windows in whole documents.
 
-    The items' windows are a small table, broadcast below ``BROADCAST_GRAMS``
-    rows. The windows of a document that begin like a test window meet it by
-    hash as they are generated, so only hits leave the scan; a hit counts after
-    its words are compared. Hits are gathered per document and their union is
-    counted with a running end.
-
-    Returns doc_id, n_words, n_hit (words inside a window's occurrence), n_items,
-    items (ids as strings, in string order), contaminated; a row per input row.
-    Null text has no words; an item without words has no window; a null item_id
-    still hits but is no item. Rows that repeat doc_id and text get equal rows.
-    Empty tables give no rows, or no hits. Other columns are not read.
+    One pass over the texts yields the windows that begin like a test window.
+    They meet the items' windows by hash (broadcast while few) and count after
+    their words are compared. Hits are gathered per text, so copies share them,
+    and their union is counted with a running end.
+
+    Returns doc_id, d1, d2 (digest of the text), n_words, n_hit (words inside a
+    window's occurrence), n_items, items (ids as strings, in string order),
+    contaminated; a row per input row. Null text has no words; an item without
+    words has no window; a null item_id still hits but is no item; null and
+    repeated doc_ids are judged by their own texts. Rows that repeat doc_id and
+    text get equal rows. Empty tables give no rows, or no hits. Other columns are
+    not read, whatever their names.
     """
     grams = table(test_grams(benchmark, n), "test-grams")
     lengths = sorted(r["m"] for r in grams.select("m").distinct().collect())  # at most n values
-    few = grams.count() <= BROADCAST_GRAMS
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    count, size = grams.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("gram", " "))), F.lit(0))).first()
+    few = count <= BROADCAST_GRAMS and size <= BROADCAST_BYTES
     d1, d2 = digest("text")
-    hits = base.select("doc_id", d1.alias("d1"), d2.alias("d2"), words_of("text").alias("w"))
-    hits = hits.select("doc_id", "d1", "d2", "w", F.explode(beginnings(grams, lengths)).alias("i"))
-    sizes = F.array(*[F.lit(m) for m in lengths]).cast("array<int>")
-    hits = hits.select("doc_id", "d1", "d2", "w", "i", F.explode(F.filter(sizes, lambda m: F.col("i") + m - 1 <= F.size("w"))).alias("m"))
-    hits = hits.select("doc_id", "d1", "d2", "i", "m", lowered(F.slice("w", "i", "m")).alias("words"))
-    hits = hits.withColumn("h", F.xxhash64("words")).join(F.broadcast(grams) if few else grams, ["h", "m"])
-    hits = hits.where(F.col("words") == F.col("gram"))
-    start = (F.col("i") - 1).alias("i")
-    found = hits.groupBy("doc_id", "d1", "d2").agg(
-        F.array_sort(F.collect_set(F.struct(start, "m"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
-    )
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = base.select("doc_id", d1.alias("d1"), d2.alias("d2"), words_of("text").alias("w"))
+    found = candidates(F.col("w"), lengths, beginnings(grams)) if lengths else F.array().cast("array<struct<i:int,m:int,words:array<string>>>")
+    base = table(base.select("doc_id", "d1", "d2", F.size("w").cast("long").alias("n_words"), found.alias("windows")), "leak-windows")
+    hits = base.select("d1", "d2", F.inline("windows")).withColumn("h", F.xxhash64("words"))
+    hits = hits.join(F.broadcast(grams) if few else grams, ["h", "m"]).where(F.col("words") == F.col("gram"))
+    found = hits.groupBy("d1", "d2").agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -89,22 +117,24 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
             (a["n"] + F.greatest(F.lit(0), s["i"] + s["m"] - F.greatest(a["end"], s["i"]))).alias("n"),
         ),
     )["n"]
-    found = found.select(F.col("doc_id").alias("id"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), covered.alias("hit"), "items")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = base.select("doc_id", d1.alias("d1"), d2.alias("d2"), n_words.alias("n_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
-    rows = rows.join(found, same, "left")
+    rows = base.select("doc_id", "d1", "d2", "n_words").join(found.select("d1", "d2", covered.alias("hit"), "items"), ["d1", "d2"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("hit", F.lit(0).cast("long"))
     return rows.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (hit > 0).alias("contaminated")
+        "doc_id", "d1", "d2", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (hit > 0).alias("contaminated")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` without the contaminated documents, all columns kept. A null doc_id is judged as an id of its own."""
-    bad = find(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows whose text is contaminated; all columns stay, whatever their names.
+
+    A row is judged by its own text, so null and repeated ids change nothing, and
+    copies go together. Null and empty texts stay. Empty tables give no rows, or
+    leave all.
+    """
+    bad = find(docs, benchmark, n).where("contaminated").select("d1", "d2").distinct()
+    d1, d2 = digest(docs["text"].cast("string"))
+    return docs.join(bad, (d1 == bad["d1"]) & (d2 == bad["d2"]), "left_anti")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
