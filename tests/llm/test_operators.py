@@ -5,16 +5,18 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftfield.llm import decontamination, line_dedup, media, mixing, quality, secrets, substring_dedup, suffix_dedup, warc
+from driftfield.llm import decontamination, line_dedup, media, mixing, quality, repeats, secrets, substring_dedup, suffix_dedup, warc
 from driftfield.llm.prefix_free import earlier_runs
 
 #: Columns of these names are used inside the operators.
@@ -49,7 +51,7 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_lines(rows, fuzzy):
+def brute_lines(rows, fuzzy, bound=1):
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
     seen, out = [], []
     for i, t in rows:
@@ -59,7 +61,7 @@ def brute_lines(rows, fuzzy):
             if not line.strip(" "):
                 kept.append(line)
                 continue
-            near = any(s == line or len(line) >= fuzzy and len(s) >= fuzzy and abs(len(s) - len(line)) <= 1 and edits(s, line) <= 1 for s in seen)
+            near = any(s == line or len(line) >= fuzzy and len(s) >= fuzzy and abs(len(s) - len(line)) <= bound and edits(s, line) <= bound for s in seen)
             seen.append(line)
             if not near:
                 kept.append(line)
@@ -76,22 +78,41 @@ def test_line_dedup(documents):
         return [s, s[:i] + s[i + 1 :], s[:i] + "x" + s[i:], s[:i] + "y" + s[i + 1 :]][how]
 
     rows = [(i, "\n".join([*(changed(rng.choice(base)) for _ in range(rng.randint(0, 6))), *[""] * (i % 3)])) for i in range(40)]
-    long = "".join(rng.choices("abc", k=5000))
-    rows += [(50, long), (51, long[:2500] + "z" + long[2500:]), (52, "short"), (53, "shor"), (54, None), (None, base[0]), rows[3], (55, long[1:]), (56, "\n\n")]
+    long = "".join(rng.choices("abc", k=1500))
+    rows += [(50, long), (51, long[:700] + "z" + long[700:]), (52, "short"), (53, "shor"), (54, None), (None, base[0]), rows[3], (55, long[1:]), (56, "\n\n")]
     got = line_dedup.dedup(documents(rows, **CLASH)).select("doc_id", "n_lines", "n_removed", "kept")
-    want = brute_lines([(i, t) for i, t in rows], 20)
+    assert result(got) == brute_lines(rows, 0)
+    want = brute_lines(rows, 20)
+    got = line_dedup.dedup(documents(rows, **CLASH), min_fuzzy=20).select("doc_id", "n_lines", "n_removed", "kept")
     assert result(got) == want
     assert sum(r[2] for r in want) > 40
+    short = [(i, "\n".join("".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(4))) for i in range(30)]
+    assert result(line_dedup.dedup(documents(short)).select("doc_id", "n_lines", "n_removed", "kept")) == brute_lines(short, 0)
     exact = line_dedup.dedup(documents(rows), max_edits=0).select("doc_id", "n_lines", "n_removed", "kept")
     assert result(exact) == brute_lines(rows, math.inf)
     assert line_dedup.dedup(documents([])).count() == 0
 
 
+def test_line_dedup_within_two_edits(documents):
+    rng = random.Random(31)
+    base = ["".join(rng.choices("abé ", k=rng.randint(1, 24))) for _ in range(12)]
+
+    def changed(s):
+        for _ in range(rng.randint(0, 3)):
+            i, how = rng.randint(0, len(s)), rng.randrange(3)
+            s = [s[:i] + s[i + 1 :], s[:i] + rng.choice("abx") + s[i:], s[:i] + rng.choice("aby") + s[i + 1 :]][how]
+        return s
+
+    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(0, 5)))) for i in range(40)]
+    got = line_dedup.dedup(documents(rows), max_edits=2).select("doc_id", "n_lines", "n_removed", "kept")
+    assert result(got) == brute_lines(rows, 0, 2)
+
+
 def test_line_dedup_clean_keeps_columns(documents):
     docs = documents([(1, "one line of some length here\nb"), (2, "one line of some length hare\nc"), (3, None)], **CLASH)
     out = line_dedup.clean(docs)
     assert out.columns == docs.columns
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("one line of some length here\nb", 30), 2: ("c", 1), 3: (None, None)}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("one line of some length here\nb", 30), 2: ("", 0), 3: (None, None)}
 
 
 # Decontamination.
@@ -122,7 +143,7 @@ def brute_decontamination(docs, bench, n=10):
 def test_decontamination(spark, documents, monkeypatch, few):
     if not few:
         monkeypatch.setattr(decontamination, "BROADCAST_GRAMS", 0)
-        monkeypatch.setattr(decontamination, "SET_PAIRS", 0)
+        monkeypatch.setattr(decontamination, "SLOTS", (8, 1, 8))  # a full table lets every place through
     rng = random.Random(2)
     vocabulary = ["Ab", "cD", "É", "é", "k9", "x", "ΑΣ", "ας", "İx", "zz"]
     line = lambda k: rng.choice([" ", "-", ", "]).join(rng.choices(vocabulary, k=k))
@@ -138,6 +159,25 @@ def test_decontamination(spark, documents, monkeypatch, few):
     assert not any(r["contaminated"] for r in decontamination.query(documents(docs), b.where(F.lit(False))).collect())
 
 
+def test_decontamination_survives_long_texts_and_large_benchmarks(spark, documents):
+    """A one-word item, over 20,000 beginnings, and texts of 20,000 words: memory follows the text."""
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(400)]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=12))) for i in range(12_000)] + [(12_000, "lone")]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=20_000), bench[i][1], "lone"])) for i in range(3)]
+    assert result(decontamination.query(documents(docs), spark.createDataFrame(bench, "item_id long, text string"))) == brute_decontamination(docs, bench)
+
+
+def test_decontamination_clean_judges_rows_by_their_text(spark, documents):
+    text = " ".join(f"a{i}" for i in range(12))
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = documents([(1, "clean one"), (1, text), (None, "clean two"), (None, text.upper()), (2, None), (3, ""), (1, "clean one")], _bad="x", d1=1, e1=2)
+    kept = decontamination.clean(docs, b)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "clean one")] * 2 + [(None, "clean two"), (2, None), (3, "")], key=str)
+    assert decontamination.clean(documents([]), b).count() == 0
+
+
 # Mixing.
 
 
@@ -174,10 +214,26 @@ def test_mixing(spark):
         assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], targets[r["source"]], rel_tol=1e-12)
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - targets[s]) <= len(sizes) for s in sizes)
+    assert sum(taken.values()) == sum(sizes.values())  # the queue is cut at the budget
+    # Closed form: at virtual time 1 each source has had its target.
+    order = defaultdict(list)
+    for i, t, s in rows:
+        h = hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()
+        order[s].append((h, i is not None, i or 0, len(WORD.findall(t or ""))))
+    exact = Counter()
+    for s, found in order.items():
+        at = 0
+        for *_, n in sorted(found):
+            exact[s, n] += sum(min(n, max(0, math.ceil(targets[s]) - at - c * sizes[s])) for c in range(3))
+            at += n
+    close = Counter()
+    for r in got:
+        close[r["source"], r["size"]] += r["taken"]
+    assert sum(abs(exact[k] - close[k]) for k in exact.keys() | close.keys()) < len(sizes)
     assert result(mixing.query(docs)) == result(mixing.query(docs.repartition(3)))
-    plan = mixing.schedule(mixed).collect()
-    assert [r["finish"] for r in plan] == sorted(r["finish"] for r in plan)
+    plan = mixing.schedule(mixing.queue(docs)).collect()
+    assert [r["finish"] for r in plan] == sorted(r["finish"] for r in plan) and plan[-1]["finish"] <= 1
     words = Counter()
     for r in plan:
         words[r["source"]] += r["words"]
@@ -224,9 +280,62 @@ def test_secrets(documents):
     assert secrets.query(documents([])).count() == 0
 
 
+def test_secrets_take_linear_time():
+    """Rulers, words run together and repeated characters must not make the allow-list backtrack."""
+    scanner = secrets.Scanner()
+    began = time.perf_counter()
+    for text in ("-" * 10_000 + "7", "a_" * 10_000 + "7", "=/+" * 5_000 + "0", "A" * 20_000 + "-1", "token" + " " * 20_000 + "x", "secret" * 5_000):
+        scanner.scan(text)
+    assert time.perf_counter() - began < 5
+
+
+def brute_entropy(t, width=20):
+    """Windows of ``width`` characters over the limit, counted anew for each, in candidates that no rule allows."""
+    spans = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or ""):
+        w = m[0]
+        plain = all(c.isalpha() or c in "_/=+-" for c in w) or w.isdigit() or len(set(w)) == 1
+        uuid = [len(x) for x in w.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF-" for c in w)
+        known = any(x in w for x in ("EXAMPLE", "example", "0123456789", "abcdefgh", "ABCDEFGH"))
+        if plain or uuid or known:
+            continue
+        limit = 3.0 if all(c in "0123456789abcdefABCDEF-" for c in w) else 3.8
+        hot = [i for i in range(len(w) - width + 1) if -sum(n / width * math.log2(n / width) for n in Counter(w[i : i + width]).values()) >= limit - 1e-12]
+        runs = []
+        for i in hot:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + width
+            else:
+                runs.append([i, i + width])
+        spans += [(m.start() + a, 3, m.start() + b) for a, b in runs]
+    return spans
+
+
+def test_entropy_spans_match_brute_force():
+    rng = random.Random(10)
+    pieces = ["a" * 15, "-" * 12, "deadbeef", "0123456789", "example", "word_word", "".join(rng.choices("abcdef0123456789", k=30)), "123e4567-e89b-12d3-a456-426614174000", "x"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    scanner, found = secrets.Scanner(), 0
+    for _ in range(600):
+        t = rng.choice([" ", "", "\n"]).join(rng.choice([*pieces, "".join(rng.choices(letters, k=rng.randint(5, 40)))]) for _ in range(rng.randint(1, 6)))
+        assert scanner.entropy(t) == brute_entropy(t), t
+        found += len(scanner.entropy(t))
+    assert found > 200
+
+
 # Media.
 
 
+def boxes(data):
+    """Offset and size of sync samples, and the codec, found by the names of the tables instead of a walk."""
+    at = lambda kind: data.index(kind, 0, data.index(b"mdat")) + 4
+    numbers = lambda start, n: [int.from_bytes(data[start + 4 * k : start + 4 * k + 4]) for k in range(n)]
+    size, n = numbers(at(b"stsz") + 4, 2)
+    first = numbers(at(b"stco") + 8, 1)[0]
+    sync = numbers(at(b"stss") + 8, numbers(at(b"stss") + 4, 1)[0])
+    return [(first + (k - 1) * size, size) for k in sync], n  # all chunks lie end to end
+
+
 def test_media(documents):
     rows = [(0, None), (1, ""), (2, "x" * 192), (3, "é" * 97), (4, "long " * 60_000), (5, ""), (None, "id"), (2, "x" * 192)]
     out = media.query(documents(rows, **CLASH)).collect()
@@ -236,11 +345,27 @@ def test_media(documents):
         payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
         r = next(r for r in out if r["doc_id"] == i)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-16:]))
+        stored = media.write(payload)
+        keys, n = boxes(stored)
+        assert stored.endswith(payload) and [stored[a : a + k] for a, k in keys] == [payload[192 * x : 192 * x + 192] for x in range(0, n, 25)]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), sha(stored))
+        assert r["feature"] == f"codec=raw;seconds={n / 25:.2f};samples={n};keyframes=" + ",".join(f"{a}+{k}" for a, k in keys)
     same = [r[1:] for r in out if r["doc_id"] in (0, 1, 5)]
     assert len(set(same)) == 1
     assert media.query(documents([])).count() == 0
 
 
+def test_media_that_cannot_be_read(spark):
+    whole = media.write(b"x" * 19200)
+    mute = whole.replace(b"stss", b"free", 1)  # without the table every sample is a sync sample
+    rows = [(1, None), (2, whole[:-10]), (3, b""), (4, b"not a media file"), (5, mute), (6, whole), (None, whole.replace(b"stsz", b"free", 1))]
+    df = spark.createDataFrame([(i, 0, None if m is None else bytearray(m)) for i, m in rows], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.read_back(df.withColumn("keyframes", F.lit(1))).collect()}
+    assert all(got[i]["error"] and got[i]["payload_bytes"] is None for i in (1, 2, 3, 4, None))
+    assert got[2]["media_bytes"] == len(whole) - 10 and got[1]["media_bytes"] is None
+    assert len(got[5]["keyframes"]) == 100 and len(got[6]["keyframes"]) == 4 and got[6]["error"] is None and got[6]["codec"] == "raw"
+
+
 def test_media_container():
     payload = bytes(random.Random(0).randbytes(192 * 1300))
     stored = media.write(payload)
@@ -297,8 +422,9 @@ def brute_substrings(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, gram, vocabulary", [(6, 3, 12), (6, 2, 3), (5, 5, 8)])
-def test_substring_dedup(documents, length, gram, vocabulary):
+@pytest.mark.parametrize("length, gram, vocabulary, screened", [(6, 3, 12, 1 << 25), (6, 2, 3, 0), (5, 5, 8, 1 << 25)])
+def test_substring_dedup(documents, monkeypatch, length, gram, vocabulary, screened):
+    monkeypatch.setattr(repeats, "SCREENED", screened)
     found = texts(vocabulary, vocabulary=vocabulary, longest=40, sep="  ")
     rows = list(enumerate(found)) + [(2, found[2]), (None, found[3]), (None, "alone")]
     df = substring_dedup.dedup(documents(rows, **CLASH), length, gram)
@@ -332,17 +458,28 @@ def brute_suffixes(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, gram, group, alphabet", [(20, 8, 2000, "ab é"), (20, 8, 1, "abcdef "), (12, 12, 2000, "abc"), (9, 4, 3, "a")])
-def test_suffix_dedup(documents, monkeypatch, length, gram, group, alphabet):
+@pytest.mark.parametrize("length, gram, group, alphabet, screened", [(20, 8, 2000, "ab é", 1 << 25), (20, 8, 1, "abcdef ", 1 << 25), (12, 12, 2000, "abc", 0), (9, 4, 3, "a", 0), (20, 8, 2, "ab é", 0)])
+def test_suffix_dedup(documents, monkeypatch, length, gram, group, alphabet, screened):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(repeats, "SCREENED", screened)
     rng = random.Random(length)
     piece = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(15)]
     rows = [(i, "".join(rng.choices(piece, k=rng.randint(0, 6)))) for i in range(50)]
-    rows += [(60, None), (61, ""), (None, rows[1][1]), rows[7], (62, "".join(rng.choices(piece, k=400)))]
+    rows += [(60, None), (61, ""), (None, rows[1][1]), rows[7], (62, "".join(rng.choices(piece, k=400))), ((1 << 63) - 1, rows[2][1]), (None, rows[3][1])]
     df = suffix_dedup.dedup(documents(rows, **CLASH), length, gram)
     assert result(df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == brute_suffixes(rows, length)
 
 
+def test_suffix_dedup_splits_crowded_anchors(documents):
+    """One phrase in over 4,000 different surroundings, the ends of a passage among them."""
+    rng = random.Random(12)
+    phrase, passage = "a phrase of over a hundred bytes " * 4, "".join(rng.choices("abcdefghij ", k=70))
+    rows = [(i, f"{rng.random()}{passage[: rng.randint(40, 70)]}{rng.random()} {phrase[: rng.randint(60, 132)]}{rng.random()}") for i in range(4_500)]
+    got = suffix_dedup.dedup(documents(rows), 60, 20).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    want = brute_suffixes(rows, 60)
+    assert result(got) == want and sum(r[2] for r in want) > 100_000
+
+
 def test_suffix_dedup_empty(documents):
     assert suffix_dedup.query(documents([])).count() == 0
 
@@ -407,6 +544,26 @@ def test_warc_stores_a_payload_once(spark):
     payloads, heads = warc.store(warc.read(spark, path))
     assert payloads.count() == len({h or "" for _, _, h in PAGES}) and heads.count() == len(PAGES)
     data = b"".join(gzip.decompress(bytes(r[0])) for r in spark.read.format("binaryFile").load(path).select("content").collect())
-    assert len(list(warc.parse(data))) == len(PAGES)
-    with pytest.raises(ValueError):
-        list(warc.parse(data.replace(b"yyyy", b"yyyz", 1)))
+    records = list(warc.parse(io.BytesIO(data)))
+    assert len(records) == len(PAGES)
+    assert b"".join(r.head + (r.payload or b"") + b"\r\n\r\n" for r in records) == data  # exact bytes
+    assert sorted(bytes(r["head"]) for r in heads.collect()) == sorted(r.head for r in records)
+    for bad in (data.replace(b"yyyy", b"yyyz", 1), data[:-3], data[5:], data[: len(data) // 2]):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(bad)))
+    lone = warc.reconstruct(payloads.where(F.lit(False)), heads)
+    assert lone.count() == len(PAGES) and {r["payload"] for r in lone.collect()} == {None}
+
+
+def test_warc_files_are_bounded_in_bytes(spark, monkeypatch):
+    from driftfield.llm.common import new_path
+
+    monkeypatch.setattr(warc, "CLASSES", ((1000, 8), (10_000, 2)))
+    pages = [(i, "u", "p" * n + str(i)) for i, n in enumerate([10] * 30 + [5_000] * 5 + [50_000] * 3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-test")
+    warc.write(df, path)
+    files = [gzip.decompress(bytes(r[0])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    assert max(len(list(warc.parse(io.BytesIO(f)))) for f in files) == 8
+    assert max(map(len, files)) < 52_000 and sum(len(f) > 20_000 for f in files) == 3
+    assert result(warc.query(df)) == brute_warc(pages)

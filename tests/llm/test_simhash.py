@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -18,14 +20,14 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(items):
+def brute_components(items, radius=2):
     label = {i: i for i in range(len(items))}
     changed = True
     while changed:
         changed = False
         for i, (_, a) in enumerate(items):
             for j, (_, b) in enumerate(items):
-                if (a ^ b).bit_count() <= 2 and label[j] < label[i]:
+                if (a ^ b).bit_count() <= radius and label[j] < label[i]:
                     label[i], changed = label[j], True
     least = {}
     for i, (doc, _) in enumerate(items):
@@ -40,6 +42,12 @@ def test_masks_cover_every_pair():
         for a in range(64):
             for b in range(64) if radius == 2 else [a]:
                 assert any(not m >> a & 1 and not m >> b & 1 for m in masks)
+    rng = random.Random(1)
+    for radius in (3, 4):
+        masks = [m & (1 << 64) - 1 for m in simhash.covering_masks(radius)]
+        for _ in range(2000):
+            places = rng.sample(range(64), radius)
+            assert any(not any(m >> a & 1 for a in places) for m in masks)
 
 
 def test_groups_match_brute_force(spark, documents):
@@ -60,7 +68,8 @@ def test_groups_match_brute_force(spark, documents):
     assert len({fp for _, fp, _ in got}) < len({t for _, t in rows})
 
 
-def test_links_find_chains_and_stars(spark):
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_find_chains_and_stars(spark, radius):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = set(base)
@@ -71,8 +80,8 @@ def test_links_find_chains_and_stars(spark):
     fps |= {base[0] ^ 1 << i for i in range(64)}
     items = sorted((x - (1 << 64) if x >> 63 else x) for x in fps)
     df = spark.createDataFrame([(x,) for x in items], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash.links(df)).collect()}
-    want = brute_components([(x, x & (1 << 64) - 1) for x in items])
+    found = {r["node"]: r["root"] for r in components(simhash.links(df, radius)).collect()}
+    want = brute_components([(x, x & (1 << 64) - 1) for x in items], radius)
     assert {x: found.get(x, x) for x in items} == dict(zip(items, want, strict=True))
 
 
@@ -83,3 +92,13 @@ def test_clean_keeps_one_of_each_group(documents):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 7]
     assert simhash.groups(docs.where(F.lit(False))).count() == 0
+
+
+def test_clean_with_null_and_repeated_ids(documents):
+    """Copies go whatever their ids; a second text of a kept id stays or goes by itself."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = documents([(1, a), (None, a), (None, b), (2, a), (2, c), (3, c), (None, None), (None, ""), (1, a)], _head="x", d1=1, head=2)
+    kept = simhash.clean(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert got == Counter({(1, a): 2, (None, b): 1, (2, c): 1, (None, ""): 1})
