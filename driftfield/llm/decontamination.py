@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,18 @@ def taken(slots: int, *words: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(k), *words), F.lit(slots)).cast("int") for k in (1, 2)]
 
 
-def beginnings(grams: DataFrame) -> tuple[int, bytes]:
-    """A table of the first two words of all test windows (or of the only one): "1" in the slots of their hashes.
+#: Words of a window's beginning.
+BEGIN = 4
+
+
+def beginning(q: int, word: Callable[[int], Column]) -> Column:
+    """One hash of the first ``q`` words, from the hashes of words; of four, of two pairs, so that pairs are hashed once."""
+    pair = lambda k: F.xxhash64(word(k), word(k + 1))
+    return {1: lambda: word(0), 2: lambda: pair(0), 3: lambda: F.xxhash64(pair(0), word(2)), 4: lambda: F.xxhash64(pair(0), pair(2))}[q]()
+
+
+def beginnings(grams: DataFrame, lengths: list[int]) -> tuple[int, bytes]:
+    """A table of the first words of all test windows (``BEGIN``, or all of a shorter one): "1" in the slots of their hashes.
 
     Words are hashed in plain lower case, which agrees wherever the contract's
     does. The driver gets slot numbers, at most as many as there are slots.
@@ -47,7 +59,9 @@ def beginnings(grams: DataFrame) -> tuple[int, bytes]:
     least, each, most = SLOTS
     slots = min(most, max(least, 1 << (each * grams.count()).bit_length()))
     word = lambda k: F.xxhash64(F.lower(F.get("gram", F.lit(k))))
-    both = F.when(F.col("m") == 1, F.array(*taken(slots, word(0)))).otherwise(F.array(*taken(slots, word(0), word(1))))
+    both = F.array(F.lit(0))
+    for q in sorted({min(m, BEGIN) for m in lengths}):
+        both = F.when(F.least("m", F.lit(BEGIN)) == q, F.array(*taken(slots, beginning(q, word)))).otherwise(both)
     found = grams.select(F.explode(both).alias("s"))
     parts = found.groupBy(F.shiftright("s", 12)).agg(F.collect_set("s").alias("s"))  # at most 4096 in each
     data = bytearray(b"0" * slots)
@@ -57,8 +71,24 @@ def beginnings(grams: DataFrame) -> tuple[int, bytes]:
     return slots, bytes(data)
 
 
-def candidates(w: Column, lengths: list[int], begin: tuple[int, bytes]) -> Column:
-    """(i, m, words): the windows of the words ``w`` that begin like a test window; i counts from 0.
+def behind(x: str, k: int) -> Column:
+    """An array from its k-th element on."""
+    return F.slice(x, F.lit(k + 1), F.greatest(F.lit(1), F.size(x)))
+
+
+def together(x: str, y: Column) -> Column:
+    """Hashes of an element of ``x`` and that of ``y``; null where the text ends."""
+    return F.zip_with(x, y, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hashes of the words ``w`` and of pairs of them, each once."""
+    rows = rows.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(F.lower(x))))
+    return rows.withColumn("pairs", together("hashes", behind("hashes", 1)))
+
+
+def candidates(lengths: list[int], begin: tuple[int, bytes]) -> Column:
+    """(i, m, words): the windows of the words ``w`` that begin like a test window; i counts from 0. ``hashes`` and ``pairs`` stand beside ``w``.
 
     All of it is one array expression: a word is hashed once, a place costs a
     look or two into the table, and only places that pass get their windows'
@@ -70,15 +100,15 @@ def candidates(w: Column, lengths: list[int], begin: tuple[int, bytes]) -> Colum
         first, second = (F.substring(F.lit(data), s + 1, F.lit(1)) == F.lit(b"1") for s in taken(slots, *words))
         return first & second
 
-    hashes = F.transform(w, lambda x: F.xxhash64(F.lower(x)))
-    place = lambda ok: F.when(ok, F.lit(1)).otherwise(F.lit(0))
-    passed = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.lit(1), F.size(hashes))), lambda a, b: place(b.isNotNull() & known(a, b)))
-    if 1 in lengths:
-        passed = F.zip_with(passed, F.transform(hashes, lambda a: place(known(a))), lambda a, b: a + b)
+    by = {1: F.col("hashes"), 2: F.col("pairs"), 3: together("pairs", behind("hashes", 2)), 4: together("pairs", behind("pairs", 2))}
+    flag = lambda x: F.transform(x, lambda a: F.when(a.isNotNull() & known(a), F.lit(1)).otherwise(F.lit(0)))
+    passed = None
+    for q in sorted({min(m, BEGIN) for m in lengths}):
+        passed = flag(by[q]) if passed is None else F.zip_with(passed, flag(by[q]), lambda a, b: a + b)
     places = F.filter(F.transform(passed, lambda a, k: F.when(a > 0, k).otherwise(F.lit(-1))), lambda k: k >= 0)
     sizes = F.array(*[F.lit(m) for m in lengths]).cast("array<int>")
-    window = lambda i, m: F.struct(i.alias("i"), m.alias("m"), lowered(F.slice(w, i + 1, m)).alias("words"))
-    return F.flatten(F.transform(places, lambda i: F.transform(F.filter(sizes, lambda m: i + m <= F.size(w)), lambda m: window(i, m))))
+    window = lambda i, m: F.struct(i.alias("i"), m.alias("m"), lowered(F.slice("w", i + 1, m)).alias("words"))
+    return F.flatten(F.transform(places, lambda i: F.transform(F.filter(sizes, lambda m: i + m <= F.size("w")), lambda m: window(i, m))))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -104,8 +134,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     d1, d2 = digest("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.select("doc_id", d1.alias("d1"), d2.alias("d2"), words_of("text").alias("w"))
-    found = candidates(F.col("w"), lengths, beginnings(grams)) if lengths else F.array().cast("array<struct<i:int,m:int,words:array<string>>>")
-    base = table(base.select("doc_id", "d1", "d2", F.size("w").cast("long").alias("n_words"), found.alias("windows")), "leak-windows")
+    found = candidates(lengths, beginnings(grams, lengths)) if lengths else F.array().cast("array<struct<i:int,m:int,words:array<string>>>")
+    base = table(hashed(base).select("doc_id", "d1", "d2", F.size("w").cast("long").alias("n_words"), found.alias("windows")), "leak-windows")
     hits = base.select("d1", "d2", F.inline("windows")).withColumn("h", F.xxhash64("words"))
     hits = hits.join(F.broadcast(grams) if few else grams, ["h", "m"]).where(F.col("words") == F.col("gram"))
     found = hits.groupBy("d1", "d2").agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
