@@ -85,9 +85,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def free(spark: SparkSession) -> None:
+def free(spark: SparkSession, now: bool = False) -> None:
     """Let go of what finished steps hold on disk: Spark drops shuffle files once the driver has collected its garbage."""
-    if time.monotonic() - _freed[0] >= FREE_EVERY:
+    if now or time.monotonic() - _freed[0] >= FREE_EVERY:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _freed[0] = time.monotonic()
