@@ -20,6 +20,15 @@ BITS = 64
 BLOCK = 1 << 14
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes: a bit is set if it is in over half of them; none: 0."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The SimHash of a UTF-8 text: a bit is set if it is in over half of the shingles' hashes; no words: 0."""
     words = (text or b"").lower().split()  # ASCII letters and white space only

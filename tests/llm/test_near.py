@@ -91,3 +91,17 @@ def test_clean_with_null_and_repeated_ids(documents):
 
 def test_empty(documents):
     assert near.groups(documents([(1, "a b")]).where(F.lit(False))).count() == 0
+
+
+def test_bitmaps_rule_out_long_sets(documents):
+    """Long texts that share a passage only move no whole sets; similar ones do, on both sides of a bitmap's size."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"v{rng.random()}" for _ in range(n)]
+    shared, base = fresh(300), fresh(4090)
+    texts = [fresh(2700) + shared, shared + fresh(2500), base, base + fresh(300)]
+    sets = near.prefixes(near.texts_of(documents([" ".join(x) for x in texts])), 5, 80)
+    ids = {r["doc_id"]: (r["id"], r["n"], len(r["bits"])) for r in sets.collect()}
+    assert ids[2][2] < ids[3][2]
+    pairs = sets.sparkSession.createDataFrame([(ids[a][0], ids[b][0]) for a, b in ((0, 1), (2, 3), (0, 2))], "u long, v long")
+    got = [tuple(r) for r in near.possible(pairs, sets, 80).collect()]
+    assert got == [(ids[2][0], ids[3][0], ids[2][1] + ids[3][1])]
