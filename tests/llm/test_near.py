@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from driftfield.llm import near
+from driftfield.llm import near, simhash
 
 
 def shingles(text):
@@ -105,3 +105,27 @@ def test_bitmaps_rule_out_long_sets(documents):
     pairs = sets.sparkSession.createDataFrame([(ids[a][0], ids[b][0]) for a, b in ((0, 1), (2, 3), (0, 2))], "u long, v long")
     got = [tuple(r) for r in near.possible(pairs, sets, 80).collect()]
     assert got == [(ids[2][0], ids[3][0], ids[2][1] + ids[3][1])]
+
+
+def test_simhash_links_come_first(documents, monkeypatch):
+    """All sets with fingerprints within the radius are connected by what SimHash hands on, and the stage goes through it."""
+    rng = random.Random(5)
+    words = [f"n{i}" for i in range(900)]
+    texts = [[w if rng.random() > 0.002 else f"x{rng.random()}" for w in words] for _ in range(12)] + [[f"o{rng.random()}" for _ in range(50)] for _ in range(5)]
+    docs = documents([" ".join(x) for x in texts])
+    rows = near.prefixes(near.texts_of(docs), 5, 80).collect()
+    for r, text in zip(sorted(rows, key=lambda r: r["doc_id"]), texts, strict=True):
+        keys = [int(k) for k in near.shingle_set(" ".join(text).encode(), 5)]
+        assert r["fp"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(k >> b & 1 for k in keys) > len(keys))
+    prints = {r["id"]: r["fp"] % (1 << 64) for r in rows}
+    close = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= near.RADIUS]
+    assert close
+    sets = docs.sparkSession.createDataFrame([(r["id"], r["fp"]) for r in rows], "id long, fp long").distinct()
+    label = {k: k for k in prints}
+    for u, v in [tuple(r) for r in near.nearest(sets, near.RADIUS).collect()] * len(prints):
+        label[u] = label[v] = min(label[u], label[v])
+    assert all(label[a] == label[b] for a, b in close)
+    used, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: used.append(a[1]) or links(*a))
+    assert dict(corpus_pipeline.STAGES)["near_copies"](sets.sparkSession, docs, "").count() == 6
+    assert used == [near.RADIUS]
